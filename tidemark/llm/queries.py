@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing
+from tidemark.llm import line_dedup, mixing, quality_rules
 from tidemark.llm._shared import load, stage
 
 SQL_WS = r"[\x20\x09-\x0D]"
@@ -64,5 +64,61 @@ SELECT d.doc_id, d.size, d.s AS source_size, d.target, d.taken, d.copies, d.sour
 FROM drawn d JOIN best b ON d.seed = b.seed AND d.source IS NOT DISTINCT FROM b.source
 """
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
-SQL = {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = stage(quality_rules.score(docs).drop("text"), "quality-scored")
+    return quality_rules.judge(scored).select("doc_id", *[f"_quality.{c}" for c in (*quality_rules.COUNTS, "base_failed")], F.col("_kept").alias("kept"))
+
+
+_RATE_SQL = {
+    r: f"least({most}, CASE WHEN {d} = 0 THEN 0 ELSE ({f} * {n}) // {d} END)::BIGINT" for r, (n, f, d, most, _, _) in quality_rules.RATES.items()
+}
+_FENCE_SQL = ", ".join(
+    f"max(q3 + {quality_rules.FENCE} * greatest(q3 - q1, {least})) FILTER (WHERE rate = '{r}') AS hi_{r}"
+    + (f", max(q1 - {quality_rules.FENCE} * greatest(q3 - q1, {least})) FILTER (WHERE rate = '{r}') AS lo_{r}" if both else "")
+    for r, (*_, least, both) in quality_rules.RATES.items()
+)
+_NAMES = [f"hi_{r}" for r in quality_rules.RATES] + [f"lo_{r}" for r, x in quality_rules.RATES.items() if x[-1]]
+
+
+def _fences_sql(keys: str, least: int) -> str:
+    by = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""(SELECT {by}{_FENCE_SQL} FROM (
+      SELECT {by}rate, min(bucket) FILTER (WHERE 4 * cum >= total) AS q1, min(bucket) FILTER (WHERE 4 * cum >= 3 * total) AS q3, any_value(total) AS total
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}rate) AS total
+            FROM (SELECT {by}rate, bucket, sum(n) AS n FROM hist GROUP BY {by}rate, bucket))
+      GROUP BY {by}rate) WHERE total >= {least} {group})"""
+
+
+OP2_SQL = rf"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base WHERE len(w) >= 8)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win),
+covered AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM again, range(0, 8) r(k) WHERE n >= 2 GROUP BY doc_id),
+feat AS (
+  SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines
+  FROM base b LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {", ".join(f"{x} AS r_{r}" for r, x in _RATE_SQL.items())} FROM feat),
+hist AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, r_{r} AS bucket, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY lang, source, r_{r}" for r in _RATE_SQL)}),
+fine AS {_fences_sql("lang, source", quality_rules.MIN_GROUP)},
+coarse AS {_fences_sql("lang", quality_rules.MIN_GROUP)},
+whole AS {_fences_sql("", 1)},
+limits AS (
+  SELECT j.*, {", ".join(f"coalesce(f.{n}, c.{n}, a.{n}) AS {n}" for n in _NAMES)}
+  FROM judged j LEFT JOIN fine f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN coarse c ON j.lang IS NOT DISTINCT FROM c.lang CROSS JOIN whole a)
+SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
+       (NOT base_failed AND coalesce({" AND ".join(f"r_{r} <= hi_{r}" for r in _RATE_SQL)} AND {" AND ".join(f"r_{r} >= lo_{r}" for r, x in quality_rules.RATES.items() if x[-1])}, false)) AS kept
+FROM limits
+"""
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+SQL = {"op2_quality_rules": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
