@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules
+from tidemark.llm import line_dedup, mixing, quality_rules, simhash
 from tidemark.llm._shared import load, stage
 
 SQL_WS = r"[\x20\x09-\x0D]"
@@ -13,6 +13,11 @@ SQL_WS = r"[\x20\x09-\x0D]"
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -93,8 +98,10 @@ def _fences_sql(keys: str, least: int) -> str:
 
 OP2_SQL = rf"""
 WITH base AS (
-  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base WHERE len(w) >= 8)),
@@ -120,5 +127,5 @@ SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
 FROM limits
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
 SQL = {"op2_quality_rules": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
