@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules, simhash
+from tidemark.llm import line_dedup, mixing, quality_rules, simhash, warc
 from tidemark.llm._shared import load, stage
 
 SQL_WS = r"[\x20\x09-\x0D]"
@@ -18,6 +18,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages")).drop("url")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -127,5 +140,5 @@ SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
 FROM limits
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
-SQL = {"op2_quality_rules": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op6_warc": op6_warc, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+SQL = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
