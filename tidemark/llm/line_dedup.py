@@ -55,10 +55,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """``docs`` with the text that stays, and columns n_lines (before) and n_dropped."""
     gone = dropped_positions(docs, min_chars, min_docs)
     out = _identified(docs).join(gone, list(_OWN), "left")
-    lines = _lines(F.col("text"))
-    # array_except hashes: linear in the lines, however many of them go
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
+    out = out.withColumn("_ld_lines", _lines(F.col("text")))
+    # read more than once below, or the optimizer would split the text anew for every line; array_except hashes, so
+    # this is linear in the lines, however many of them go
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("gone")))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
-    out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("_ld_lines", F.when(F.col("gone").isNotNull(), lines))
-    return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop(*_OWN, "gone", "_ld_lines")
+    own = {
+        "n_lines": F.size("_ld_lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
+    }
+    return out.withColumns(own).drop(*_OWN, "gone", "_ld_lines")
