@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules, simhash, warc
+from tidemark.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_tok, simhash, warc
 from tidemark.llm._shared import load, stage
 
 SQL_WS = r"[\x20\x09-\x0D]"
@@ -18,6 +18,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, quality_classifier.graded(load(spark, sf_dir, "labels")))
+    return quality_classifier.classify(docs, model).drop("text")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs.drop("lang"), language_id.fit(docs)).drop("text")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_tok.encode(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
+    return out.select("doc_id", "n_tokens", digest, "parity", "round_trip")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages")).drop("url")
 
@@ -140,5 +157,5 @@ SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
 FROM limits
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op6_warc": op6_warc, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_language_id": op5_language_id, "op6_warc": op6_warc, "op7_sentencepiece": op7_sentencepiece, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
 SQL = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
