@@ -47,14 +47,14 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     pairs = keys.groupBy("h1", "h2", "_ld_doc").agg(F.lit(1).alias("one"))
     shared = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_ld_doc").alias("keeper")).where(F.col("n") >= min_docs)
     shared = stage(shared.drop("n"), "line-keys")
-    gone = keys.join(shared, ["h1", "h2"]).where(F.col("_ld_doc") < F.col("keeper"))
+    gone = keys.join(shared.hint("merge"), ["h1", "h2"]).where(F.col("_ld_doc") < F.col("keeper"))
     return stage(gone.groupBy(*_OWN).agg(F.collect_set("pos").alias("gone")), "line-positions")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the text that stays, and columns n_lines (before) and n_dropped."""
     gone = dropped_positions(docs, min_chars, min_docs)
-    out = _identified(docs).join(gone, list(_OWN), "left")
+    out = _identified(docs).join(gone.hint("merge"), list(_OWN), "left")
     out = out.withColumn("_ld_lines", _lines(F.col("text")))
     # read more than once below, or the optimizer would split the text anew for every line; array_except hashes, so
     # this is linear in the lines, however many of them go
