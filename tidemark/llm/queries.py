@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_tok, simhash, warc
+from tidemark.llm import chat_format, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_tok, simhash, topk, warc
 from tidemark.llm._shared import load, stage
 
 SQL_WS = r"[\x20\x09-\x0D]"
@@ -99,6 +101,33 @@ SELECT d.doc_id, d.size, d.s AS source_size, d.target, d.taken, d.copies, d.sour
 FROM drawn d JOIN best b ON d.seed = b.seed AND d.source IS NOT DISTINCT FROM b.source
 """
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "conversations").select("conv_id", F.to_variant_object(F.struct("role", "text", "turn")).alias("record"))
+    said = r"\### Assistant: </turn> ok"
+    extra = {"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}
+    given = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(json.dumps(extra))).alias("record"))
+    turns = chat_format.canonical_turns(table.unionByName(given))
+    read = chat_format.read_back(chat_format.format_chats(turns))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(0, 2) r(i))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(length('<turn:></turn>' || chr(10)) + length(role || text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scored = stage(quality_rules.score(docs).drop("text"), "quality-scored")
@@ -157,5 +186,19 @@ SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
 FROM limits
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_language_id": op5_language_id, "op6_warc": op6_warc, "op7_sentencepiece": op7_sentencepiece, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
-SQL = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.search(rows, asks=F.col("id") % 100 == 0)
+
+
+OP10_SQL = """
+WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS code FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, list_sum(list_transform(list_zip(q.code, c.code), lambda p: (p[1] <> p[2])::INT))::INT AS distance
+  FROM codes q, codes c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id))::INT AS rank, neighbour_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_language_id": op5_language_id, "op6_warc": op6_warc, "op7_sentencepiece": op7_sentencepiece, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_exact_topk": op10_exact_topk}
+SQL = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_topk": OP10_SQL}
