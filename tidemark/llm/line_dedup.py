@@ -66,3 +66,13 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
     }
     return out.withColumns(own).drop(*_OWN, "gone", "_ld_lines")
+
+
+def with_shared_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with its own columns and the text that stays; n_chars, where there is one, is that text's length."""
+    named = docs.columns
+    kept = docs.select(*[F.col(c).alias(f"_own_{c}") for c in named if c not in ("doc_id", "text")], "doc_id", "text")
+    out = line_dedup(kept, min_chars, min_docs)
+    chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_own_n_chars")) if "n_chars" in named else None
+    mine = lambda c: chars.alias(c) if c == "n_chars" else F.col(c if c in ("doc_id", "text") else f"_own_{c}").alias(c)
+    return out.select(*[mine(c) for c in named])
