@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: The six ASCII white-space characters that end a word, as a character class.
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -59,5 +63,27 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but those ``used`` in one struct, so no name of theirs can clash with ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[c for c in docs.columns if c in used], F.struct(*rest or [F.lit(None).alias("none")]).alias("_rest"))
+
+
+def unpacked(frame: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    return frame.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
+def once(key: object, make: Callable[[], T]) -> T:
+    """``make()``, kept for later tasks of the same Python worker, which get new copies of shipped modules."""
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    name = f"kept {key!r}"
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+ship(__name__)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import ascii_lower, stage, trimmed
+from tidemark.llm._shared import ascii_lower, packed, stage, trimmed, unpacked
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _OWN = ("_ld_doc", "_ld_text")
@@ -70,9 +70,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 def with_shared_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with its own columns and the text that stays; n_chars, where there is one, is that text's length."""
-    named = docs.columns
-    kept = docs.select(*[F.col(c).alias(f"_own_{c}") for c in named if c not in ("doc_id", "text")], "doc_id", "text")
-    out = line_dedup(kept, min_chars, min_docs)
-    chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_own_n_chars")) if "n_chars" in named else None
-    mine = lambda c: chars.alias(c) if c == "n_chars" else F.col(c if c in ("doc_id", "text") else f"_own_{c}").alias(c)
-    return out.select(*[mine(c) for c in named])
+    out = line_dedup(packed(docs, "doc_id", "text", "n_chars"), min_chars, min_docs)
+    if "n_chars" in docs.columns:
+        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, chars).otherwise(F.col("n_chars")))
+    return unpacked(out, docs.columns, "doc_id", "text", "n_chars")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stage, words
+from tidemark.llm._shared import packed, stage, unpacked, words
 
 BLOCKS = 4
 WEIGHTS = (5, 2, 1)
@@ -101,9 +101,8 @@ def mix(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
-    named = docs.columns
-    kept = docs.withColumns({f"_own_{c}": F.col(c) for c in named})
-    sources = plan(with_size(docs), weights, cap)
-    out = mix(with_size(kept), sources)
+    used = ("doc_id", "source", "text")
+    sized = with_size(packed(docs, *used))
+    out = mix(sized, plan(sized, weights, cap))
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"_own_{c}").alias(c) for c in named])
+    return unpacked(out, docs.columns, *used)

@@ -20,10 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stage, trimmed, words
+from tidemark.llm._shared import packed, stage, trimmed, unpacked, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_GROUP, FENCE = 200, 3
+_READ = ("text", "lang", "source")
 #: Rate: (numerator, factor, denominator, highest bucket, least spread, whether too little counts against it too).
 RATES = {
     "symbols": ("n_symbols", 1000, "word_chars", 1000, 10, False),
@@ -134,4 +135,5 @@ def judge(scored: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, as they were."""
-    return judge(stage(score(docs), "quality-scored")).where("_kept").select(*docs.columns)
+    scored = stage(score(packed(docs, *_READ)), "quality-scored")
+    return unpacked(judge(scored).where("_kept"), docs.columns, *_READ)

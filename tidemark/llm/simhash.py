@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import ship, stage
+from tidemark.llm._shared import once as once_a_worker
+from tidemark.llm._shared import packed, ship, stage, unpacked
 from tidemark.llm.components import components
 
 ship(__name__)
@@ -125,17 +126,15 @@ def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(index), np.concatenate(key), np.concatenate(home)
 
 
-_TABLE: list[np.ndarray] = []
-
-
 def _anchor_table() -> np.ndarray:
-    if not _TABLE:
+    def make() -> np.ndarray:
         patterns = _patterns(RADIUS + BLOCK_DISTANCE)
         table = np.full((len(patterns), max(map(len, patterns))), -1, np.int64)
         for i, x in enumerate(patterns):
             table[i, : len(x)] = x
-        _TABLE.append(table)
-    return _TABLE[0]
+        return table
+
+    return once_a_worker(("anchors", RADIUS + BLOCK_DISTANCE), make)
 
 
 def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +224,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id, once if its row is repeated."""
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
-    keep = stage(keep.select(F.col("doc_id").alias("_keep"), "fp", "rows"), "simhash-kept")
-    once = keep.groupBy("_keep").agg(F.sum("rows").alias("_rows"))
-    out = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    if not keep.where("rows > 1").limit(1).count() and not keep.groupBy("_keep").count().where("count > 1").limit(1).count():
-        return out.drop("_rows")
-    single = out.where("_rows = 1").drop("_rows")
-    return single.unionByName(out.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
+    keep = keep.select(F.col("doc_id").alias("_keep"), "rows")
+    once = stage(keep.groupBy("_keep").agg(F.sum("rows").alias("_rows")), "simhash-kept")
+    out = packed(docs, "doc_id", "text").join(once, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
+    if once.where("_rows > 1").limit(1).count():
+        out = out.where("_rows = 1").unionByName(out.where("_rows > 1").dropDuplicates(["doc_id"]))
+    return unpacked(out, docs.columns, "doc_id", "text")
