@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids and n_tokens of each document emitted, and that encoding it can be undone."""
-    return sentencepiece_tok.encode(docs).select("doc_id", "source", "lang", "ids", "n_tokens", "parity", "round_trip")
+    return sentencepiece_tok.encode(docs, keep_text=False).select("doc_id", "source", "lang", "ids", "n_tokens", "parity", "round_trip")
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("mixing", mix), ("sentencepiece", tokens)]

@@ -18,21 +18,23 @@ gives no rows; other columns are carried along, except that the operator's own c
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import os
-import re
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from tidemark.llm._shared import ship
+from tidemark.llm._shared import once, ship
 
 ship(__name__)
 
@@ -106,7 +108,7 @@ def build(data: bytes) -> Tokenizer:
     unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), None)
     fallback = any(kind == BYTE for *_, kind in pieces)
     if model["kind"] == BPE:
-        core = models.BPE({text: i for i, (text, _, _) in enumerate(pieces)}, _merges(pieces), cache_capacity=200_000, unk_token=None if unknown is None else pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
+        core = models.BPE({text: i for i, (text, _, _) in enumerate(pieces)}, _merges(pieces), cache_capacity=10_000, unk_token=None if unknown is None else pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
     elif model["kind"] == UNIGRAM:
         low = min((score for _, score, kind in pieces if kind == NORMAL), default=0.0)
         usable = lambda kind: kind in (NORMAL, USER_DEFINED, UNKNOWN, BYTE)
@@ -143,147 +145,159 @@ def verify_parity(tokenizer: Tokenizer, data: bytes, texts: Iterable[str] = PROB
     return [x.ids == y for x, y in zip(ours, theirs.encode(given, num_threads=1), strict=True)]
 
 
-@lru_cache(maxsize=4)
-def ready(data: bytes) -> Tokenizer:
-    """The tokenizer of a model, built and verified once a worker."""
+def _verified(data: bytes) -> Tokenizer:
     tokenizer = build(data)
     if not all(verify_parity(tokenizer, data)):
         raise ValueError("the rebuilt tokenizer differs from sentencepiece on the probes")
     return tokenizer
 
 
+def ready(data: bytes) -> Tokenizer:
+    """The tokenizer of a model, built and verified once a worker."""
+    return once(("tokenizer", hashlib.sha256(data).hexdigest()), lambda: _verified(data))
+
+
 def read_model(path: str = MODEL_PATH) -> bytes:
     return Path(path).read_bytes()
 
 
 class _Numbers(dict):
-    """Numbers segments as they are first seen, and remembers which are new."""
+    """Numbers words as they are first seen, and remembers which are new."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
 
-    def __missing__(self, segment: str) -> int:
-        self[segment] = n = len(self)
-        self.new.append(segment)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
 class Encoder:
-    """Encodes texts by their segments, each distinct one of a stretch of the data once.
+    """Encodes Arrow batches of texts, each distinct word of a stretch of the data once.
+
+    Words are what lies between single spaces. Where the model leaves text as it is but for the marker, and no piece
+    reaches over a marker, a text's ids are its words' ids one after the other, and so are parity and round trip what
+    its words' are. Texts with other spacing, and all texts of other models, go through the library whole.
 
-    A segment is what no piece can reach out of (see the module's text); a model without that property has each whole
-    text as its one segment. Memory: at most ``SEGMENTS`` segments beside one batch.
+    Memory: about ``WORDS`` words and one stretch of texts, whatever the batch.
     """
 
-    SEGMENTS = 200_000
+    WORDS, STRETCH, GROUP = 300_000, 1 << 20, 1000
 
     def __init__(self, data: bytes, parity: bool = True) -> None:
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.whole = ready(data)
-        self.core = build(data)
-        self.core.normalizer = None
+        self.tokenizer = ready(data)
         model = parse_model(data)
-        self.core.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.prefix = model["prefix"]
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.core.pre_tokenizer else r"(?s).+")
+        self.by_words = self.tokenizer.pre_tokenizer is not None and model["prefix"] and model["escape"] and not (model["charsmap"] or model["squeeze"])
+        self.marked = np.array([text.startswith(MARK) for text, _, _ in model["pieces"]])
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data) if parity else None
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.texts = _Numbers(), []
-        self.ids, self.starts, self.equal = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool)
+        self.numbers = _Numbers()
+        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.equal, self.back = np.empty(0, bool), np.empty(0, bool)
+
+    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = (normalised(self.tokenizer, t) for t in texts)
+        back = [x == y for x, y in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), plain, strict=True)]
+        equal = [x == y for x, y in zip(self.theirs.encode(texts, num_threads=1), ids, strict=True)] if self.theirs else [True] * len(texts)
+        return ids, equal, back
 
     def _learn(self) -> None:
+        """Encodes the new words, a group as one text: a word's pieces begin where one has the marker."""
         new, self.numbers.new = self.numbers.new, []
-        if not new:
-            return
-        ids = [x.ids for x in self.core.encode_batch_fast(new, add_special_tokens=False)]
-        self.texts += self.core.decode_batch(ids, skip_special_tokens=False)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
-        same = np.ones(len(new), bool)
-        for i in range(0, len(new) if self.theirs else 0, 1000):
-            same[i : i + 1000] = self._agree(new[i : i + 1000], ids[i : i + 1000])
-        self.equal = np.concatenate([self.equal, same])
-
-    def _agree(self, segments: list[str], ids: list[list[int]]) -> bool | list[bool]:
-        """Whether sentencepiece gives the same ids: for all as one text where they stay apart in it, else for each."""
-        raw = lambda s: (s[1:] if self.prefix and s[:1] == MARK else s).replace(MARK, " ")
-        if self.core.pre_tokenizer and all(s[:1] == MARK != s[-1:] for s in segments):
-            if self.theirs.encode(raw("".join(segments))) == [i for x in ids for i in x]:
-                return True
-        return [x == y for x, y in zip(ids, self.theirs.encode([raw(s) for s in segments], num_threads=1), strict=True)]
-
-    def _numbered(self, text: str) -> np.ndarray:
-        """The numbers of a text's segments; a long text's segments are listed piece by piece."""
-        found, at = [], 0
-        while at < len(text):
-            end = at + STRETCH
-            while self.core.pre_tokenizer and end < len(text) and not (text[end] == MARK and text[end - 1] != MARK):
-                end += 1
-            end = end if self.core.pre_tokenizer else len(text)
-            part = self.cut.findall(text, at, end)
-            found.append(np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)))
-            at = end
-        return np.concatenate(found) if found else np.empty(0, np.int32)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool] | None]:
-        """ids, whether sentencepiece agrees, and whether decoding gives the normalised text back, for each text."""
-        if len(self.numbers) > self.SEGMENTS:
+        found, sizes, equal, back = [self.ids], [], [self.equal], [self.back]
+        for i in range(0, len(new), self.GROUP):
+            words = new[i : i + self.GROUP]
+            text = " ".join(words)
+            listed = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = np.array(listed, np.int32)
+            at = np.flatnonzero(self.marked[ids])
+            whole = len(at) == len(words) and self.tokenizer.decode(listed, skip_special_tokens=False) == text
+            if whole and (not self.theirs or self.theirs.encode(text) == listed):
+                sizes.append(np.diff(np.append(at, len(ids))))
+                same = again = np.ones(len(words), bool)
+            else:
+                each, same, again = self._whole(words)
+                ids = np.fromiter(itertools.chain.from_iterable(each), np.int32)
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            found.append(ids)
+            equal.append(np.array(same, bool))
+            back.append(np.array(again, bool))
+        self.ids, self.equal, self.back = np.concatenate(found), np.concatenate(equal), np.concatenate(back)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.starts
+
+    def encode(self, texts: pa.Array) -> list[pa.Array]:
+        """ids, n_tokens, parity and round_trip of a stretch of texts."""
+        if len(self.numbers) > self.WORDS:
             self.clear()
-        plain = [None if t is None else self.whole.normalizer.normalize_str(t) for t in texts]
-        parts = [None if t is None else self._numbered(t) for t in plain]
+        n = len(texts)
+        known = texts.is_valid().to_numpy(zero_copy_only=False)
+        text = pc.fill_null(texts, "")
+        odd = np.ones(n, bool)
+        if self.by_words:
+            spaced = pc.or_(pc.or_(pc.starts_with(text, " "), pc.ends_with(text, " ")), pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, MARK)))
+            odd = pc.or_(spaced, pc.equal(text, "")).to_numpy(zero_copy_only=False)
+        # words of the plain texts; one word that stands for nothing keeps the places of the others
+        lists = pc.split_pattern(text.filter(pa.array(~odd)), " ")
+        flat = lists.flatten().dictionary_encode()
+        number = np.fromiter(map(self.numbers.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
         self._learn()
-        out: list[tuple[np.ndarray, bool, bool] | None] = []
-        for text, part in zip(plain, parts, strict=True):
-            if part is None:
-                out.append(None)
-                continue
-            sizes = self.starts[part + 1] - self.starts[part]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[part] - (ends - sizes), sizes)
-            back = "".join(map(self.texts.__getitem__, part.tolist()))
-            out.append((self.ids[at], bool(self.equal[part].all()), back == text.replace(MARK, " ")))
-        return out
-
-
-RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
-#: Characters of the texts that are encoded together.
-STRETCH = 1 << 21
-
-
-def _stretches(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text or "")
-        if size >= STRETCH:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def encode(docs: DataFrame, model: bytes | None = None, parity: bool = True) -> DataFrame:
+        word = number[flat.indices.to_numpy()]
+        sizes = self.starts[word + 1] - self.starts[word]
+        ends = np.cumsum(sizes)
+        plain = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - (ends - sizes), sizes)]
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
+        tokens, equal, back = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
+        if len(counts):
+            tokens[~odd] = np.add.reduceat(sizes, first)
+            equal[~odd], back[~odd] = np.logical_and.reduceat(self.equal[word], first), np.logical_and.reduceat(self.back[word], first)
+        rest = np.flatnonzero(odd & known)
+        whole = self._whole([text[int(i)].as_py() for i in rest]) if len(rest) else ([], [], [])
+        tokens[rest], equal[rest], back[rest] = [len(x) for x in whole[0]], whole[1], whole[2]
+        ids = plain
+        if len(rest):
+            owner = np.repeat(np.arange(n), np.where(odd, 0, tokens))
+            ids = np.concatenate([plain, np.fromiter(itertools.chain.from_iterable(whole[0]), np.int32)])
+            ids = ids[np.argsort(np.concatenate([owner, np.repeat(rest, tokens[rest])]), kind="stable")]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32))
+        none = pa.array(~known)
+        masked = lambda x, kind: pa.array(x, kind, mask=~known)
+        return [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=none), masked(tokens, pa.int64()), masked(equal, pa.bool_()), masked(back, pa.bool_())]
+
+
+RESULT = {"ids": "array<int>", "n_tokens": "bigint", "parity": "boolean", "round_trip": "boolean"}
+
+
+def _stretches(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about Encoder.STRETCH bytes of text, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(sizes) // Encoder.STRETCH
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else [0]
+    for a, b in itertools.pairwise(starts):
+        yield batch.slice(int(a), int(b - a))
+
+
+def encode(docs: DataFrame, model: bytes | None = None, parity: bool = True, keep_text: bool = True) -> DataFrame:
     """``docs`` with ids, n_tokens, parity and round_trip of its text."""
     given = docs.sparkSession.sparkContext.broadcast(model or read_model())
+    carried = [c for c in docs.columns if c not in RESULT and (keep_text or c != "text")]
 
-    @F.pandas_udf(RESULT)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(given.value, parity)
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = once(("encoder", parity, hashlib.sha256(given.value).hexdigest()), lambda: Encoder(given.value, parity))
         for batch in batches:
-            rows = [r for part in _stretches(batch) for r in encoder.encode(part)]
-            yield pd.DataFrame({
-                "ids": [None if r is None else r[0] for r in rows],
-                "n_tokens": pd.array([None if r is None else len(r[0]) for r in rows], "Int64"),
-                "parity": pd.array([None if r is None else r[1] for r in rows], "boolean"),
-                "round_trip": pd.array([None if r is None else r[2] for r in rows], "boolean"),
-            })
-
-    out = docs.withColumn("_sp", encoded("text"))
-    return out.withColumns({f.name: F.col(f"_sp.{f.name}") for f in RESULT}).drop("_sp")
+            for part in _stretches(batch, len(carried)):
+                own = [part.column(i) for i in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([*own, *encoder.encode(part.column(len(carried)))], [*carried, *RESULT])
+
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried], *[f"{c} {t}" for c, t in RESULT.items()]])
+    return docs.select(*carried, F.col("text").alias("_sp_text")).mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, model: bytes | None = None, ids: str = "ids") -> DataFrame:
