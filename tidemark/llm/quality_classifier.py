@@ -6,12 +6,14 @@ probability of the top grade, by which documents are selected.
 
 Grades come from ``labels``: 0 for low quality, 1 for good but toxic, 2 for good and clean.
 
-Features of a whole text: each distinct word, lower-cased and stripped of what is no letter or digit at its ends,
-counts 1 / sqrt(number of distinct words); each shape of its words (runs of letters, capitals, digits and other
-characters drawn together) counts ``SHAPE`` times its share of the words. Both are hashed to ``DIMENSIONS`` weights.
+Features of a whole text: each distinct word, lower-cased and stripped of what is no letter or digit at its ends, and
+each distinct beginning of ``PREFIX`` letters of longer ones; each shape of its words (runs of letters, capitals, digits
+and other characters drawn together) with ``SHAPE`` times its share of the words. All are hashed to ``DIMENSIONS``
+weights, of which only those get a value whose feature is seen with some grade unlike chance has it: words that mean
+nothing would otherwise let the model learn its sample by heart.
 
 The model is fitted on the driver on at most about ``SAMPLE`` documents a grade, chosen by hash and weighted so that the
-grades keep their frequency; only their hashed features are collected. The sampled ids, having that bound, are
+grades keep their frequency; only those of their hashed features that get a weight are collected. The sampled ids, having that bound, are
 broadcast, so texts aren't shuffled. The weights (DIMENSIONS * 4 bytes) are broadcast to score every document.
 
 Defined results: null or blank text has grade 0, probabilities 0, and isn't selected; labels without a quality are
@@ -23,6 +25,7 @@ probability; other columns are never looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -36,8 +39,10 @@ from tidemark.llm._shared import ship, stage
 
 ship(__name__)
 
-DIMENSIONS, SAMPLE, SHAPE, GRADES = 1 << 18, 4000, 4.0, 3
-STEPS, RATE, RIDGE = 150, 0.3, 1e-6
+DIMENSIONS, SAMPLE, SHAPE, PREFIX, GRADES = 1 << 18, 8000, 4.0, 5, 3
+#: Rows a feature must be in, and by how many standard deviations a grade must differ there from chance.
+LEAST, SURPRISE = 5, 5.0
+STEPS, RATE, RIDGE = 300, 0.2, 3e-5
 SELECT = 0.5
 CACHE = 300_000
 
@@ -47,30 +52,34 @@ def _shape(word: str) -> str:
     return re.sub(r"(\W)\1+", r"\1", re.sub(r"\d+", "0", letters))
 
 
+def _hashed(feature: str) -> int:
+    return crc32(feature.encode("utf-8", "surrogatepass")) % DIMENSIONS
+
+
 class _Words(dict):
-    """Feature numbers of a word and of its shape, kept for the words met lately."""
+    """Feature numbers of a word, its beginning and its shape (-1: none), kept for the words met lately."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> tuple[int, int, int]:
         if len(self) > CACHE:
             self.clear()
         bare = re.sub(r"^[\W_]+|[\W_]+$", "", word.lower())
-        hashed = lambda s: crc32(s.encode("utf-8", "surrogatepass")) % DIMENSIONS
-        self[word] = found = hashed(f"w {bare}") if bare else -1, hashed(f"s {_shape(word)}")
+        whole = _hashed(f"w {bare}") if bare else -1
+        self[word] = found = whole, _hashed(f"p {bare[:PREFIX]}") if len(bare) > PREFIX else -1, _hashed(f"s {_shape(word)}")
         return found
 
 
 def features(text: str | None, cache: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature numbers and their values."""
-    found = [cache[w] for w in (text or "").split()]
-    if not found:
+    """Feature numbers and their values."""
+    counts = Counter((text or "").split())
+    if not counts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    both = np.array(found, np.int64)
-    words = np.unique(both[:, 0])
-    words = words[words >= 0]
-    shapes, n = np.unique(both[:, 1], return_counts=True)
-    numbers = np.concatenate([words, shapes]).astype(np.int32)
-    values = np.concatenate([np.full(len(words), 1 / np.sqrt(max(1, len(words)))), SHAPE * n / len(found)]).astype(np.float32)
-    return numbers, values
+    words, starts, shapes = zip(*map(cache.__getitem__, counts), strict=True)
+    present = np.unique(np.array(words + starts, np.int64))
+    present = present[present >= 0]
+    shape, at = np.unique(np.array(shapes, np.int64), return_inverse=True)
+    n = np.bincount(at, np.fromiter(counts.values(), np.float64, len(counts)))
+    numbers = np.concatenate([present, shape]).astype(np.int32)
+    return numbers, np.concatenate([np.ones(len(present)), SHAPE * n / n.sum()]).astype(np.float32)
 
 
 class Ordinal:
@@ -84,9 +93,22 @@ class Ordinal:
         return np.diff(np.concatenate([[0.0], at_most, [1.0]]))
 
 
+def screened(hashed: DataFrame) -> np.ndarray:
+    """Which features are worth a weight: in enough rows, and with some grade far more or less often than chance gives."""
+    rows = {r["grade"]: r["count"] for r in hashed.groupBy("grade").count().collect()}
+    seen = [F.sum(F.when(F.col("grade") == k, 1).otherwise(0)).alias(f"seen{k}") for k in rows]
+    counts = hashed.select("grade", F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("total"), *seen)
+    expected = {k: F.col("total") * F.lit(n / sum(rows.values())) for k, n in rows.items()}
+    surprise = F.greatest(F.lit(0.0), *[F.abs(F.col(f"seen{k}") - e) / F.sqrt(e + 0.5) for k, e in expected.items()])
+    worth = np.zeros(DIMENSIONS, bool)
+    worth[[r["number"] for r in counts.where((F.col("total") >= LEAST) & (surprise >= SURPRISE)).select("number").collect()]] = True
+    return worth
+
+
 def train(rows: list[tuple[int, float, np.ndarray, np.ndarray]]) -> Ordinal:
     """Adam on the whole sample; rows are (grade, weight, numbers, values)."""
-    rows = [r for r in rows if len(r[2])]
+    # a row without any such feature still tells about the cuts
+    rows = [r if len(r[2]) else (r[0], r[1], np.zeros(1, np.int32), np.zeros(1, np.float32)) for r in rows]
     grade, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     weight = weight / weight.sum()
     numbers, values = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]).astype(np.float64)
@@ -141,12 +163,22 @@ def fit(docs: DataFrame, grades: DataFrame) -> Ordinal | None:
         cache = _Words()
         for batch in batches:
             found = [features(t, cache) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "numbers": [n.tobytes() for n, _ in found], "values": [v.tobytes() for _, v in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "numbers": [n for n, _ in found], "values": [v for _, v in found]})
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    kept = stage(chosen.mapInPandas(hashed, "doc_id long, grade int, numbers array<int>, values array<float>").where(F.size("numbers") > 0), "quality-features")
+    worth = screened(kept)
+
+    def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            on = [worth[n] for n in batch["numbers"]]
+            numbers = [n[o].astype(np.int32).tobytes() for n, o in zip(batch["numbers"], on, strict=True)]
+            values = [v[o].astype(np.float32).tobytes() for v, o in zip(batch["values"], on, strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "numbers": numbers, "values": values})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(hashed, "doc_id long, grade int, numbers binary, values binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["numbers"]))
+    rows = sorted(kept.mapInPandas(packed, "doc_id long, grade int, numbers binary, values binary").collect(), key=lambda r: (r["doc_id"], r["numbers"]))
     unpacked = [(r["grade"], 1 / share[r["grade"]], np.frombuffer(r["numbers"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows]
-    return train(unpacked) if any(len(r[2]) for r in unpacked) else None
+    return train(unpacked) if unpacked else None
 
 
 RESULT = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType()), T.StructField("p_top", T.DoubleType())])

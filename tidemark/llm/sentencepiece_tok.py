@@ -111,14 +111,14 @@ def build(data: bytes) -> Tokenizer:
         core = models.BPE({text: i for i, (text, _, _) in enumerate(pieces)}, _merges(pieces), cache_capacity=10_000, unk_token=None if unknown is None else pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
     elif model["kind"] == UNIGRAM:
         low = min((score for _, score, kind in pieces if kind == NORMAL), default=0.0)
-        usable = lambda kind: kind in (NORMAL, USER_DEFINED, UNKNOWN, BYTE)
-        core = models.Unigram([(text, score if usable(kind) else low - 100.0) for text, score, kind in pieces], unknown, fallback)
+        # what no text may be cut into, control and byte pieces' own spellings, is dearer than any cut into characters
+        core = models.Unigram([(text, score if kind in (NORMAL, USER_DEFINED) else low - 1e5) for text, score, kind in pieces], unknown, fallback)
     else:
         raise ValueError(f"model type {model['kind']} is neither unigram nor BPE")
     tokenizer = Tokenizer(core)
     rules = [normalizers.Precompiled(model["charsmap"])] if model["charsmap"] else []
     if model["squeeze"]:
-        rules += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        rules += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     rules += [normalizers.Prepend(MARK)] if model["prefix"] else []
     rules += [normalizers.Replace(" ", MARK)] if model["escape"] else []
     tokenizer.normalizer = normalizers.Sequence(rules)
