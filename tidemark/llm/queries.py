@@ -32,7 +32,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_tok.encode(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sentencepiece_tok.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     digest = F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
     return out.select("doc_id", "n_tokens", digest, "parity", "round_trip")
 

@@ -60,7 +60,7 @@ def _met(probes: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     """
     apart = [F.bit_count(_segment(F.col("query"), i).bitwiseXOR(_segment(F.col("code"), i))) for i in range(SEGMENTS)]
     new = [F.when(F.col("segment") > i, apart[i] > radius).otherwise(apart[i] >= radius) for i in range(SEGMENTS)]
-    found = probes.join(index, ["segment", "value"]).where(reduce(Column.__and__, new))
+    found = probes.join(index.hint("merge"), ["segment", "value"]).where(reduce(Column.__and__, new))
     return found.select("query", "code", "first", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
 
 

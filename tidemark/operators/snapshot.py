@@ -34,6 +34,7 @@ class Snapshot:
     chain_id: int = 1
     client: str = "tidemark"
     strategy: str = "bucketed"
+    empty_hash: bytes | None = None
 
     def check(self, probes: DataFrame) -> DataFrame:
         """``probes``, failing at run time if one lies beyond the head: never a clamped answer."""
@@ -54,11 +55,11 @@ class Snapshot:
         slots = as_of_join(keyed, self.storage, ["address", "incarnation", "slot"], self.strategy, name="written")
         return slots.withColumn("value", F.coalesce(F.col("written.value"), zero)).drop("written")
 
-    def code_as_of(self, probes: DataFrame, empty: Column, empty_hash: str | None = None) -> DataFrame:
+    def code_as_of(self, probes: DataFrame, empty: Column) -> DataFrame:
         """``probes`` (address, block) with ``code``; a live account's missing blob has ``missing`` true."""
         found = self.accounts_as_of(probes)
         alive = F.coalesce(F.col("account.exists"), F.lit(False)) & F.col("account.code_hash").isNotNull()
-        alive = alive & (F.col("account.code_hash") != empty_hash) if empty_hash else alive
+        alive = alive & (F.col("account.code_hash") != F.lit(self.empty_hash)) if self.empty_hash else alive
         first = self.codes.groupBy("code_hash").agg(F.min_by(F.struct("first_seen_block", "code"), "first_seen_block").alias("blob"))
         keyed = found.withColumn("_code", F.when(alive, F.col("account.code_hash")))
         met = keyed.join(first, (F.col("_code") == F.col("code_hash")) & (F.col("blob.first_seen_block") <= F.col("block")), "left")
