@@ -29,11 +29,12 @@ _READ = ("text", "lang", "source")
 RATES = {
     "symbols": ("n_symbols", 1000, "word_chars", 1000, 10, False),
     "capitals": ("n_capitals", 1000, "word_chars", 1000, 30, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 1000, 50, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 1000, 50, False),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", 1000, 170, False),
+    "echoes": ("n_echoes", 1000, "n_words", 1000, 30, False),
+    "repeats": ("n_repeat_words", 1000, "n_words", 1000, 90, False),
     "word_length": ("word_chars", 100, "n_words", 5000, 40, True),
 }
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_echoes")
 
 
 def _pairs(hashes: str, apart: int) -> Column:
@@ -60,6 +61,8 @@ def score(docs: DataFrame) -> DataFrame:
     ))
     # Hashes of 1, 2, 4 and then 8 words in a row, each in one pass over the array
     q = q.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words", "_lines", "_text")
+    echo = F.zip_with(F.col("_h1"), F.slice(F.col("_h1"), 2, F.size("_h1")), lambda a, b: F.when(a == b, 1).otherwise(0))
+    q = q.withColumn("_echoes", F.aggregate(echo, F.lit(0).cast("long"), lambda total, x: total + x))
     q = q.withColumn("_h2", _pairs("_h1", 1)).drop("_h1").withColumn("_h4", _pairs("_h2", 2)).drop("_h2").withColumn("_h8", _pairs("_h4", 4)).drop("_h4")
     windows = F.slice("_h8", 1, F.greatest(F.col("n_words_").cast("int") - (WINDOW - 1), F.lit(0)))
     q = q.withColumn("_win", windows).drop("_h8")
@@ -72,7 +75,7 @@ def score(docs: DataFrame) -> DataFrame:
     repeated = F.coalesce(F.aggregate(covers, F.lit(0).cast("long"), lambda total, c: total + c), F.lit(0).cast("long"))
     q = q.withColumn("_repeat", repeated).drop("_at")
     failed = (F.col("n_words_") < MIN_WORDS) | (100 * F.col("_repeat") > MAX_REPEAT_PERCENT * F.col("n_words_"))
-    own = F.struct(F.col("n_words_").alias("n_words"), "_q1.*", F.col("_repeat").alias("n_repeat_words"), failed.alias("base_failed"))
+    own = F.struct(F.col("n_words_").alias("n_words"), "_q1.*", F.col("_repeat").alias("n_repeat_words"), F.col("_echoes").alias("n_echoes"), failed.alias("base_failed"))
     return q.withColumn("_quality", own).select(*[F.col(c) for c in docs.columns], "_quality")
 
 

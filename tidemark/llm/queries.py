@@ -170,7 +170,7 @@ feat AS (
   SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines
+         (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::BIGINT AS n_echoes
   FROM base b LEFT JOIN covered c USING (doc_id)),
 judged AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {", ".join(f"{x} AS r_{r}" for r, x in _RATE_SQL.items())} FROM feat),
 hist AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, r_{r} AS bucket, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY lang, source, r_{r}" for r in _RATE_SQL)}),
