@@ -29,6 +29,11 @@ from tidemark.sources.packages import Package
 MAGIC = "tidemark-head/1"
 RETRIES = 32
 TABLES = {"accounts": ["address"], "storage": ["address", "incarnation", "slot"], "codes": ["code_hash"]}
+SCHEMAS = {
+    "accounts": "address binary, block bigint, exists boolean, incarnation decimal(20,0), nonce decimal(20,0), balance binary, code_hash binary",
+    "storage": "address binary, incarnation decimal(20,0), slot binary, block bigint, value binary",
+    "codes": "code_hash binary, first_seen_block bigint, code binary",
+}
 AT = {"accounts": "block", "storage": "block", "codes": "first_seen_block"}
 #: Seconds: files younger than this may belong to a commit under way; a merge gives up before that.
 GC_AGE, MERGE_DEADLINE = 3 * 3600, 2 * 3600
@@ -58,7 +63,7 @@ class Archive:
 
     def table(self, name: str, runs: list[dict]) -> DataFrame:
         """A table of runs, oldest first. Only the runs given are opened."""
-        each = [self.spark.read.parquet(f"{self.root}/runs/{r['digest']}/{name}").drop("part") for r in runs]
+        each = [self.spark.read.schema(f"{SCHEMAS[name]}, part int").parquet(f"{self.root}/runs/{r['digest']}/{name}").drop("part") for r in runs]
         return reduce(DataFrame.unionByName, each)
 
     def snapshot(self, block: int | None = None) -> Snapshot:
