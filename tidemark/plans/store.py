@@ -128,3 +128,11 @@ class HeadFile:
 
 def digest_of(head: dict) -> str:
     return hashlib.sha256(json.dumps(head, sort_keys=True).encode()).hexdigest()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -475,3 +475,80 @@ def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keccak_code_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keccak-256 of every part's name: no SQL engine at hand has it."""
     return E.load(spark, sf_dir, "part").select("p_partkey", F.lower(F.hex(keccak_of(F.encode("p_name", "UTF-8")))).alias("code_hash"))
+
+
+@query(_sql("""
+SELECT rule, count(*)::BIGINT AS n FROM (
+  SELECT 'event count' AS rule FROM (SELECT DISTINCT block FROM acc) WHERE block % 7 = 0
+  UNION ALL SELECT 'tombstone with state' FROM acc WHERE NOT "exists" AND block % 13 = 0
+  UNION ALL SELECT 'blocks not contiguous' FROM (SELECT block, lag(block) OVER (PARTITION BY block // 10 ORDER BY block) AS p FROM (SELECT DISTINCT block FROM acc)) WHERE block <> p + 1
+  UNION ALL SELECT 'parent hash' FROM (SELECT block, lag(block) OVER (PARTITION BY block // 10 ORDER BY block) AS p FROM (SELECT DISTINCT block FROM acc)) WHERE block <> p + 1
+  UNION ALL SELECT 'delta does not follow' FROM head WHERE EXISTS (SELECT 1 FROM acc WHERE block = 0)
+  UNION ALL SELECT 'accounts not sorted' WHERE false) GROUP BY rule"""))
+def package_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations by rule of the history written as one package an epoch, with counts and tombstones spoilt on purpose."""
+    from tidemark.operators import validate
+    from tidemark.sources.packages import SCHEMA
+    from tidemark.sources.writing import package_lines
+
+    lines = package_lines(E.account_versions(E.load(spark, sf_dir)), E.BLOCKS_PER_EPOCH)
+    number = lambda field: F.conv(F.substring(F.get_json_object("line", f"$.{field}"), 3, 16), 16, 10).cast("long")
+    kind = F.get_json_object("line", "$.type")
+    wrong_count = F.regexp_replace("line", '"event_count":"0x', '"event_count":"0x1')
+    with_nonce = F.regexp_replace("line", "}$", ',"nonce":"0x1"}')
+    dead = (kind == "account") & (F.get_json_object("line", "$.exists") == "false") & (number("block") % 13 == 0)
+    spoilt = F.when((kind == "block_end") & (number("number") % 7 == 0), wrong_count).when(dead, with_nonce).otherwise(F.col("line"))
+    records = validate.decode(lines.withColumn("line", spoilt))
+    return validate.package_violations(records, SCHEMA).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _small_packages() -> list[str]:
+    """Five one-block packages: an account that is made, changes, goes, comes back, and changes again."""
+    import json
+
+    from tidemark.functions.keccak import EMPTY_CODE
+    from tidemark.sources.packages import SCHEMA
+
+    digest = lambda n: "0x" + f"{n + 1:02x}" * 32
+    made = []
+    for n, (exists, life) in enumerate([(True, 0), (True, 0), (False, 0), (True, 1), (True, 1)]):
+        start = {"mode": "anchor", "anchor_number": "0x0", "anchor_hash": digest(0)} if n == 0 else {"mode": "delta", "preceding_number": hex(n - 1), "preceding_hash": digest(n - 1)}
+        state = {"nonce": hex(n + 1), "balance": hex(100 * n), "code_hash": "0x" + EMPTY_CODE.hex()} if exists else {}
+        rows = [
+            {"type": "header", "schema": SCHEMA, "chain_id": "0x1", "genesis_hash": digest(0), **start},
+            {"type": "block", "number": hex(n), "hash": digest(n), "parent_hash": digest(n - 1) if n else "0x" + "00" * 32, "state_root": digest(n), "timestamp": hex(n)},
+            {"type": "account", "block": hex(n), "address": "0x" + "11" * 20, "exists": exists, "incarnation": hex(life), **state},
+            {"type": "block_end", "number": hex(n), "event_count": "0x1"},
+            {"type": "trailer", "end_number": hex(n), "end_hash": digest(n), "block_count": "0x1"},
+        ]
+        made.append("".join(json.dumps(r) + "\n" for r in rows))
+    return made
+
+
+@query()
+def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages published into a new archive, compacted, and read back."""
+    from tidemark.plans.archive import Archive
+    from tidemark.plans.store import scratch
+    from tidemark.sources.packages import package_from_text, read_package
+
+    archive = Archive(spark, scratch(spark, "archive"), 1)
+    for text in _small_packages():
+        archive.publish(read_package(package_from_text(spark, text)))
+    archive.compact()
+    return archive.snapshot().accounts.select("block", "exists", "incarnation", "nonce")
+
+
+@query()
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packages as files of a stream, each published once."""
+    from tidemark.plans.archive import Archive
+    from tidemark.plans.store import Store, scratch
+    from tidemark.streaming.ingest import ingest
+
+    root = scratch(spark, "stream")
+    store, archive = Store(spark, root), Archive(spark, f"{root}/archive", 1)
+    for n, text in enumerate(_small_packages()[:2]):
+        store.put_immutable(f"in/{n}.jsonl", text.encode())
+        ingest(spark, f"{root}/in", archive, f"{root}/checkpoint").awaitTermination()
+    return archive.snapshot().accounts.select("block", "exists", "incarnation", "nonce")
