@@ -226,7 +226,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
     keep = keep.select(F.col("doc_id").alias("_keep"), "rows")
     once = stage(keep.groupBy("_keep").agg(F.sum("rows").alias("_rows")), "simhash-kept")
-    out = packed(docs, "doc_id", "text").join(once, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
+    out = packed(docs, "doc_id", "text").join(once.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
     if once.where("_rows > 1").limit(1).count():
         out = out.where("_rows = 1").unionByName(out.where("_rows > 1").dropDuplicates(["doc_id"]))
     return unpacked(out, docs.columns, "doc_id", "text")
