@@ -1,10 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into ``SEGMENTS`` = 4 segments of 16 bits, and each code is indexed under its value in each. Two
-codes that differ in d bits differ in at most d // 4 bits in some segment. So once a query has probed all values within
-radius r in every segment, it has met every code within 4 r + 3 bits. The radius grows from 0, each round probing only
-the values at exactly the new radius, until the query's kth verified distance is at most 4 r + 3: nothing unseen can be
-nearer. At radius 16 every code has been met, so it ends for queries with fewer neighbours too.
+codes that differ in d bits differ in at most d // 4 bits in some segment; more finely, once a query has probed all
+values within radius r in its first j segments, and within r - 1 in the others, it has met every code within
+4 r + j - 1 bits. The radii grow from 0, each round probing only the values at exactly the new radius, until the query's
+kth verified distance is that near: nothing unseen can be nearer. At radius 16 every code has been met, so it ends for queries with fewer neighbours too.
 
 Equal codes are one in the index, with the ``k + 1`` smallest ids that have them (one more than k, as a query doesn't
 find itself): so a code that a third of all rows share costs no more than any other. Groups are cut down to that many
@@ -19,6 +19,7 @@ of them; vectors of more than 64 components are refused; an empty table gives no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,14 +42,20 @@ def _segment(code: Column, i: int) -> Column:
     return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")).cast("int")
 
 
-def _probes(queries: DataFrame, radius: int) -> DataFrame:
-    """query, segment, value: what is exactly ``radius`` bits from the query's segment."""
+def _steps() -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(radius, segments) in the order in which they are probed: where a radius costs much, two segments at a time."""
+    for radius in range(WIDTH + 1):
+        yield from [(radius, (0, 1, 2, 3))] if radius < 3 else [(radius, (0, 1)), (radius, (2, 3))]
+
+
+def _probes(queries: DataFrame, radius: int, segments: tuple[int, ...]) -> DataFrame:
+    """query, segment, value: what is exactly ``radius`` bits from the query's segments."""
     masks = F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda m: F.bit_count(m) == radius)
-    return _by_segment(queries, "query").withColumn("mask", F.explode(masks)).select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    return _by_segment(queries, "query", segments).withColumn("mask", F.explode(masks)).select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
-def _by_segment(codes: DataFrame, name: str) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).alias("segment"), _segment(F.col(name), i).alias("value")) for i in range(SEGMENTS)])
+def _by_segment(codes: DataFrame, name: str, segments: tuple[int, ...] = tuple(range(SEGMENTS))) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(i).alias("segment"), _segment(F.col(name), i).alias("value")) for i in segments])
     return codes.withColumn("s", F.explode(parts)).select(*codes.columns, "s.segment", "s.value")
 
 
@@ -81,12 +88,12 @@ def search(rows: DataFrame, k: int = K, asks: Column | None = None) -> DataFrame
     asking = stage(known.where(F.lit(True) if asks is None else asks).select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "topk-queries")
     active = stage(asking.select("query").distinct(), "topk-active")
     best, done, total = None, [], codes.count()
-    for radius in range(WIDTH + 1):
-        met = _best(_met(_probes(active, radius), index, radius), k)
+    for radius, segments in _steps():
+        met = _best(_met(_probes(active, radius, segments), index, radius), k)
         best = stage(_best(met.unionByName(best.join(active, "query", "left_semi")), k) if best is not None else met, "topk-best")
         order = Window.partitionBy("query").orderBy("distance", "first")
         enough = best.withColumn("cum", F.sum("ids").over(order)).where(F.col("cum") > k).groupBy("query").agg(F.min("distance").alias("kth"))
-        covered = stage(enough.where(F.col("kth") <= SEGMENTS * (radius + 1) - 1).select("query"), "topk-covered")
+        covered = stage(enough.where(F.col("kth") <= SEGMENTS * radius + segments[-1]).select("query"), "topk-covered")
         done.append(best.join(covered, "query", "left_semi"))
         active = stage(active.join(covered, "query", "left_anti"), "topk-active")
         if not total or not active.limit(1).count():
