@@ -177,6 +177,15 @@ def test_simhash(docs, texts, none):
     assert rows(simhash.near_dedup(none)) == []
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(29)
+    a, b, c, d, e, f, g = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(7))
+    table = [(None, a), (None, a), (None, b), (None, c), (7, c), (1, d), (1, e), (1, e), (2, f), (3, f), (3, g), (None, d)]
+    want = [(1, d), (1, e), (2, f), (3, g), (7, c), (None, a), (None, b)]
+    kept = simhash.near_dedup(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_word_pieces_of_long_texts(monkeypatch):
     text = "Some words é and\tmore\nwords " * 40
     whole = simhash.fingerprint(text)

@@ -207,26 +207,38 @@ def links(prints: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) of every row of ``docs``."""
-    prints = stage(docs.select("doc_id", fingerprint_of("text").alias("fp")), "simhash-prints")
+def _named(prints: DataFrame) -> DataFrame:
+    """fp, its smallest doc_id ``first``, and root and component_id of its component, for every distinct fingerprint."""
     firsts = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
     roots = stage(components(links(firsts)), "simhash-roots")
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     known = members.join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first")
     least = stage(known.groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
-    merged = stage(members.join(least, "root").select(F.col("node").alias("fp"), "least"), "simhash-merged")
-    named = firsts.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(stage(named, "simhash-components"), "fp")
+    merged = stage(members.join(least, "root").select(F.col("node").alias("fp"), "root", "least"), "simhash-merged")
+    named = firsts.join(merged, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return stage(named, "simhash-components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of the component) of every row of ``docs``."""
+    prints = stage(docs.select("doc_id", fingerprint_of("text").alias("fp")), "simhash-prints")
+    return prints.join(_named(prints).select("fp", "component_id"), "fp")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id, once if its row is repeated."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("rows"))
-    keep = keep.select(F.col("doc_id").alias("_keep"), "rows")
-    once = stage(keep.groupBy("_keep").agg(F.sum("rows").alias("_rows")), "simhash-kept")
+    """One row of each group of near duplicates: of those with its smallest doc_id (null if it has no other), that with
+    the least fingerprint and text. Rows of other groups don't matter to it, whether they share its doc_id or not."""
+    prints = stage(docs.select("doc_id", fingerprint_of("text").alias("fp")), "simhash-prints")
+    best = _named(prints).where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("_fp"))
+    several = stage(prints.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1"), "simhash-several")
+    keep = best.join(several, F.col("component_id").eqNullSafe(F.col("doc_id")), "left")
+    keep = stage(keep.select(F.col("component_id").alias("_keep"), "_fp", F.coalesce("rows", F.lit(1)).alias("_rows")), "simhash-kept")
+    once = keep.groupBy("_keep").agg(F.max("_rows").alias("_rows"))
     out = packed(docs, "doc_id", "text").join(once.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    if once.where("_rows > 1").limit(1).count():
-        out = out.where("_rows = 1").unionByName(out.where("_rows > 1").dropDuplicates(["doc_id"]))
+    if keep.where("_rows > 1").limit(1).count():
+        again = out.where("_rows > 1").select("doc_id", "text", "_rest", fingerprint_of("text").alias("_print"))
+        again = again.join(keep.select("_keep", "_fp"), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_print") == F.col("_fp")))
+        least = F.min_by(F.struct("text", "_rest"), F.struct(F.col("text").isNotNull(), "text")).alias("_row")
+        again = again.groupBy("doc_id", "_fp").agg(least).select("doc_id", "_row.text", "_row._rest")
+        out = out.where("_rows = 1").drop("_rows").unionByName(again)
     return unpacked(out, docs.columns, "doc_id", "text")
