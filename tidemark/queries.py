@@ -159,6 +159,13 @@ def ext_key_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pinned.history(F.col("address") % 10 == 3)
 
 
+@query(_sql("SELECT * FROM acc"))
+def ext_key_history_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of every key; ``ext_key_history`` returns a tenth of them."""
+    pinned, _ = _snapshot(spark, sf_dir)
+    return pinned.history(F.lit(True))
+
+
 @query(_sql('SELECT address, block, "exists", incarnation FROM acc'))
 def lifetime_incarnations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.account_versions(E.load(spark, sf_dir)).select("address", "block", "exists", "incarnation")
