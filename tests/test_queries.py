@@ -38,3 +38,10 @@ def test_whole_key_history(spark, tables):
     pinned, _ = queries._snapshot(spark, tables)
     some = pinned.history(queries.F.col("address").isin(13, 20))
     assert sorted(map(tuple, some.collect()), key=repr) == [r for r in rows if r[0] in (13, 20)]
+
+
+@pytest.mark.parametrize("name", ["account_as_of_events", "storage_as_of_events", "code_as_of_events"])
+def test_a_probe_an_event(spark, tables, name):
+    rows, want = both(spark, tables, name)
+    assert rows == want and len(rows) == 900
+    assert {r[1] for r in rows} > set(range(40))

@@ -19,6 +19,7 @@ from tidemark.operators.snapshot import Snapshot
 from tidemark.plans import levels
 from tidemark.sources import events as E
 
+#: Probes of the queries that don't take theirs from the events (``_events``), whatever the tables' size.
 PROBES = 4000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,6 +136,45 @@ def code_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pinned.code_as_of(probes, F.lit("")).select("probe_id", "address", "block", "code")
 
 
+#: Probes and hits like HISTORY's prb and hit, with one probe an event instead of PROBES in all.
+_EVENT_PROBES = """
+eprb AS (
+  SELECT event_id AS probe_id, user_id + CASE WHEN event_id % 11 = 0 THEN top + 1 ELSE 0 END AS address, event_type AS slot, (event_id * 97) % (head + 1) AS block
+  FROM events, head),
+ehit AS (
+  SELECT p.*, a."exists" AS ex, a.incarnation, a.nonce, a.balance, a.code_hash
+  FROM eprb p ASOF LEFT JOIN acc a ON p.address = a.address AND p.block >= a.block)"""
+
+
+def _event_snapshot(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, DataFrame]:
+    pinned, _ = _snapshot(spark, sf_dir)
+    events = E.load(spark, sf_dir)
+    return pinned, E.event_probes(events, pinned.head, events.agg(F.max("user_id")).first()[0])
+
+
+@query(_sql('SELECT probe_id, address, block, ex AS "exists", incarnation, nonce, balance, code_hash FROM ehit', _EVENT_PROBES))
+def account_as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``account_as_of`` with a probe an event."""
+    pinned, probes = _event_snapshot(spark, sf_dir)
+    return pinned.accounts_as_of(probes).select("probe_id", "address", "block", *[f"account.{c}" for c in ("exists", "incarnation", "nonce", "balance", "code_hash")])
+
+
+@query(_sql("SELECT probe_id, address, slot, block, coalesce(value, 0)::BIGINT AS value FROM val", _EVENT_PROBES, _STORAGE.replace("FROM hit)", "FROM ehit)")))
+def storage_as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``storage_as_of`` with a probe an event."""
+    pinned, probes = _event_snapshot(spark, sf_dir)
+    return pinned.storage_as_of(probes, F.lit(0).cast("long")).select("probe_id", "address", "slot", "block", "value")
+
+
+@query(_sql("""
+SELECT h.probe_id, h.address, h.block, coalesce(c.code, '') AS code
+FROM ehit h LEFT JOIN cod c ON h.ex AND h.code_hash = c.code_hash AND c.first_seen_block <= h.block""", _EVENT_PROBES))
+def code_as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code_as_of`` with a probe an event."""
+    pinned, probes = _event_snapshot(spark, sf_dir)
+    return pinned.code_as_of(probes, F.lit("")).select("probe_id", "address", "block", "code")
+
+
 @query(_sql("""
 SELECT address, block, "exists", incarnation, nonce, balance FROM acc, head WHERE block <= head // 2
 QUALIFY row_number() OVER (PARTITION BY address ORDER BY block DESC) = 1"""))

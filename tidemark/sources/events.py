@@ -68,3 +68,10 @@ def probes(spark: SparkSession, n: int, head: int, addresses: int) -> DataFrame:
     """``n`` probes (probe_id, address, slot, block), spread by arithmetic, some at addresses that aren't there."""
     slot = F.element_at(F.array(*[F.lit(s) for s in SLOTS]), (F.col("id") % len(SLOTS) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("probe_id"), (F.col("id") * 37 % (addresses + 11)).alias("address"), slot.alias("slot"), (F.col("id") * 97 % (head + 1)).alias("block"))
+
+
+def event_probes(events: DataFrame, head: int, addresses: int) -> DataFrame:
+    """One probe (probe_id, address, slot, block) an event, so they grow, and are skewed, as the table is: its user and
+    type at a block computed from its id. Every eleventh asks for an address above all that are there."""
+    absent = F.when(F.col("event_id") % 11 == 0, F.lit(addresses + 1)).otherwise(F.lit(0))
+    return events.select(F.col("event_id").alias("probe_id"), (F.col("user_id") + absent).alias("address"), F.col("event_type").alias("slot"), (F.col("event_id") * 97 % (head + 1)).alias("block"))
