@@ -45,3 +45,8 @@ def test_a_probe_an_event(spark, tables, name):
     rows, want = both(spark, tables, name)
     assert rows == want and len(rows) == 900
     assert {r[1] for r in rows} > set(range(40))
+
+
+def test_the_stream_takes_all_packages(spark, tables):
+    streamed, published = (sorted(map(tuple, queries.QUERIES[name](spark, tables).collect())) for name in ("streaming_ingest", "publish_roundtrip"))
+    assert streamed == published and [r[0] for r in streamed] == [0, 1, 2, 3, 4]

@@ -595,7 +595,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = scratch(spark, "stream")
     store, archive = Store(spark, root), Archive(spark, f"{root}/archive", 1)
-    for n, text in enumerate(_small_packages()[:2]):
+    for n, text in enumerate(_small_packages()):
         store.put_immutable(f"in/{n}.jsonl", text.encode())
         ingest(spark, f"{root}/in", archive, f"{root}/checkpoint").awaitTermination()
     return archive.snapshot().accounts.select("block", "exists", "incarnation", "nonce")
