@@ -50,3 +50,13 @@ def test_a_probe_an_event(spark, tables, name):
 def test_the_stream_takes_all_packages(spark, tables):
     streamed, published = (sorted(map(tuple, queries.QUERIES[name](spark, tables).collect())) for name in ("streaming_ingest", "publish_roundtrip"))
     assert streamed == published and [r[0] for r in streamed] == [0, 1, 2, 3, 4]
+
+
+def test_bloom_shards_follow_the_number_of_keys(spark, tables, monkeypatch):
+    asked, build, probe = [], queries.bloom.build_summary, queries.bloom.may_contain
+    monkeypatch.setattr(queries.scalars, "SHARD_KEYS", 16)
+    monkeypatch.setattr(queries.bloom, "build_summary", lambda keys, shards, **kw: asked.append(shards) or build(keys, shards, **kw))
+    monkeypatch.setattr(queries.bloom, "may_contain", lambda keys, summary, shards: asked.append(shards) or probe(keys, summary, shards))
+    n = queries._keys(spark, tables).distinct().count()
+    assert queries.QUERIES["bloom_no_false_negatives"](spark, tables).count() == 0
+    assert asked[0] == asked[1] > 4 and asked[0] // 2 < n / 16 <= asked[0]

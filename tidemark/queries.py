@@ -332,8 +332,9 @@ def shard_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the history that its own summary denies: none."""
     keys = _keys(spark, sf_dir).distinct()
-    summary = bloom.build_summary(keys, 4, heavy=20)
-    return bloom.may_contain(keys, summary, 4).where("NOT may_contain").select(F.lower(F.hex("key")).alias("key"))
+    shards = keys.agg(scalars.shard_count(F.count("*"))).first()[0]
+    summary = bloom.build_summary(keys, shards, heavy=20)
+    return bloom.may_contain(keys, summary, shards).where("NOT may_contain").select(F.lower(F.hex("key")).alias("key"))
 
 
 
