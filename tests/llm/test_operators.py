@@ -444,6 +444,19 @@ def test_topk_is_exact(spark):
     assert rows(topk.search(few.limit(0))) == []
 
 
+def test_topk_takes_ties_at_the_kth_distance_by_id(spark):
+    """Many codes at the distance that the kth neighbour has, met in different rounds: the smallest ids must win."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    at = lambda n: base ^ sum(1 << b for b in rng.sample(range(64), n))
+    codes = [(0, base)] + [(1000 - i, at(9)) for i in range(60)] + [(2000 + i, at(8)) for i in range(2)] + [(3000 + i, at(30)) for i in range(300)]
+    frame = spark.createDataFrame([(i, struct.unpack("<q", struct.pack("<Q", c))[0], "x") for i, c in codes], "id long, code long, kth string")
+    for k in (1, 4, 30):
+        want = sorted(((base ^ c).bit_count(), i) for i, c in codes if i)[:k]
+        found = topk.search(frame, k=k, asks=F.col("id") == 0).orderBy("rank").collect()
+        assert [(r["distance"], r["neighbour_id"]) for r in found] == want
+
+
 def test_sign_codes(spark):
     frame = spark.createDataFrame([([1.0, -1.0, 0.5] + [0.0] * 60 + [2.0],), (None,)], "v array<float>")
     assert [r["c"] for r in frame.select(topk.sign_code(F.col("v")).alias("c")).collect()] == [5 - 2**63, None]

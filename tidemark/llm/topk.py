@@ -1,10 +1,12 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into ``SEGMENTS`` = 4 segments of 16 bits, and each code is indexed under its value in each. Two
-codes that differ in d bits differ in at most d // 4 bits in some segment; more finely, once a query has probed all
-values within radius r in its first j segments, and within r - 1 in the others, it has met every code within
-4 r + j - 1 bits. The radii grow from 0, each round probing only the values at exactly the new radius, until the query's
-kth verified distance is that near: nothing unseen can be nearer. At radius 16 every code has been met, so it ends for queries with fewer neighbours too.
+codes that differ in d bits differ in at most d // 4 bits in some segment: once a query has probed all values within
+radius r in every segment, it has met every code within 4 r + 3 bits. The radii grow from 0, each round probing only the
+values at exactly the new radius, until the query's kth verified distance is that near: nothing unseen can be nearer. At
+radius 16 every code has been met, so it ends for queries with fewer neighbours too. Each probe carries its query's kth
+distance of the round before, and meets only codes that are as near: the small first radii give a kth distance early,
+and what the large ones meet is then a few candidates a query instead of a share of all codes.
 
 Equal codes are one in the index, with the ``k + 1`` smallest ids that have them (one more than k, as a query doesn't
 find itself): so a code that a third of all rows share costs no more than any other. Groups are cut down to that many
@@ -19,7 +21,6 @@ of them; vectors of more than 64 components are refused; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,7 @@ from tidemark.llm._shared import stage
 
 K = 10
 SEGMENTS, WIDTH = 4, 16
+BITS = SEGMENTS * WIDTH
 
 
 def sign_code(vector: Column) -> Column:
@@ -42,33 +44,30 @@ def _segment(code: Column, i: int) -> Column:
     return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")).cast("int")
 
 
-def _steps() -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(radius, segments) in the order in which they are probed: where a radius costs much, two segments at a time."""
-    for radius in range(WIDTH + 1):
-        yield from [(radius, (0, 1, 2, 3))] if radius < 3 else [(radius, (0, 1)), (radius, (2, 3))]
-
-
-def _probes(queries: DataFrame, radius: int, segments: tuple[int, ...]) -> DataFrame:
-    """query, segment, value: what is exactly ``radius`` bits from the query's segments."""
+def _probes(queries: DataFrame, radius: int) -> DataFrame:
+    """query, kth, segment, value: what is exactly ``radius`` bits from the query's segments."""
     masks = F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda m: F.bit_count(m) == radius)
-    return _by_segment(queries, "query", segments).withColumn("mask", F.explode(masks)).select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    return _by_segment(queries, "query").withColumn("mask", F.explode(masks)).select("query", "kth", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
-def _by_segment(codes: DataFrame, name: str, segments: tuple[int, ...] = tuple(range(SEGMENTS))) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).alias("segment"), _segment(F.col(name), i).alias("value")) for i in segments])
+def _by_segment(codes: DataFrame, name: str) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(i).alias("segment"), _segment(F.col(name), i).alias("value")) for i in range(SEGMENTS)])
     return codes.withColumn("s", F.explode(parts)).select(*codes.columns, "s.segment", "s.value")
 
 
 def _met(probes: DataFrame, index: DataFrame, radius: int) -> DataFrame:
-    """query, code, first, ids, distance of what the probes meet for the first time, each once.
+    """query, code, first, ids, distance of what the probes meet for the first time, each once, and that may still be
+    among the query's nearest: what lies farther than its present ``kth`` distance can't, what lies as far still can.
 
     A pair that lies nearer in some segment was met in an earlier round; of the segments in which it lies ``radius``
     apart the first one counts. So no shuffle is needed to tell repeats.
     """
     apart = [F.bit_count(_segment(F.col("query"), i).bitwiseXOR(_segment(F.col("code"), i))) for i in range(SEGMENTS)]
-    new = [F.when(F.col("segment") > i, apart[i] > radius).otherwise(apart[i] >= radius) for i in range(SEGMENTS)]
-    found = probes.join(index.hint("merge"), ["segment", "value"]).where(reduce(Column.__and__, new))
-    return found.select("query", "code", "first", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+    new = [F.when(F.col("p.segment") > i, apart[i] > radius).otherwise(apart[i] >= radius) for i in range(SEGMENTS)]
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+    same = (F.col("p.segment") == F.col("c.segment")) & (F.col("p.value") == F.col("c.value"))
+    found = probes.alias("p").join(index.alias("c").hint("merge"), reduce(Column.__and__, new, same & (distance <= F.col("kth"))))
+    return found.select("query", "code", "first", "ids", distance.cast("int").alias("distance"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -86,20 +85,21 @@ def search(rows: DataFrame, k: int = K, asks: Column | None = None) -> DataFrame
     codes = members.groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("ids"))
     index = stage(_by_segment(codes, "code"), "topk-index")
     asking = stage(known.where(F.lit(True) if asks is None else asks).select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "topk-queries")
-    active = stage(asking.select("query").distinct(), "topk-active")
+    active = stage(asking.select("query", F.lit(BITS).alias("kth")).distinct(), "topk-active")
     best, done, total = None, [], codes.count()
-    for radius, segments in _steps():
-        met = _best(_met(_probes(active, radius, segments), index, radius), k)
-        best = stage(_best(met.unionByName(best.join(active, "query", "left_semi")), k) if best is not None else met, "topk-best")
+    for radius in range(WIDTH + 1):
+        met = _best(_met(_probes(active, radius), index, radius), k)
+        best = stage(_best(met.unionByName(best.join(active.select("query"), "query", "left_semi")), k) if best is not None else met, "topk-best")
         order = Window.partitionBy("query").orderBy("distance", "first")
-        enough = best.withColumn("cum", F.sum("ids").over(order)).where(F.col("cum") > k).groupBy("query").agg(F.min("distance").alias("kth"))
-        covered = stage(enough.where(F.col("kth") <= SEGMENTS * radius + segments[-1]).select("query"), "topk-covered")
-        done.append(best.join(covered, "query", "left_semi"))
-        active = stage(active.join(covered, "query", "left_anti"), "topk-active")
+        kth = F.min(F.when(F.col("cum") > k, F.col("distance"))).alias("kth")
+        enough = best.withColumn("cum", F.sum("ids").over(order)).groupBy("query").agg(kth, F.count("*").alias("met"))
+        left = active.select("query").join(enough, "query", "left").select("query", F.coalesce("kth", F.lit(BITS)).alias("kth"), "met")
+        covered = (F.col("kth") <= SEGMENTS * (radius + 1) - 1) | F.coalesce(F.col("met") >= total, F.lit(False)) | F.lit(radius == WIDTH)
+        state = stage(left.select("query", "kth", covered.alias("covered")), "topk-state")
+        done.append(best.join(state.where("covered").select("query"), "query", "left_semi"))
+        active = state.where("NOT covered").drop("covered")
         if not total or not active.limit(1).count():
             break
-    else:
-        done.append(best.join(active, "query", "left_semi"))  # fewer than k others: all codes were met
     nearest = stage(reduce(DataFrame.unionByName, done), "topk-nearest")
     near = asking.join(nearest, "query").select("query_id", "code", "distance").join(members, "code").where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
