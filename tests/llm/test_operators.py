@@ -129,6 +129,22 @@ def test_quality_keeps_prose_and_drops_junk(spark, docs, none):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_sources_with_other_habits_get_other_fences(spark):
+    """The same text is kept where a source's documents all have such symbols, and goes where none has."""
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghijk", k=rng.randint(3, 8))) for _ in range(80))
+    marked = lambda share: " ".join(w + ("##" if rng.random() < share else "") for w in prose().split())
+    same = marked(0.3)
+    table = [(i, prose(), "en", "plain") for i in range(300)] + [(1000 + i, marked(rng.uniform(0.1, 0.4)), "en", "marked") for i in range(300)]
+    table += [(500, same, "en", "plain"), (1500, same, "en", "marked")]
+    # a source of three documents goes by its language, a language of three by all documents
+    table += [(2000 + i, prose(), "en", "tiny") for i in range(3)] + [(3000 + i, prose(), "xx", None) for i in range(3)] + [(3010, "#$%& " * 60 + prose(), "xx", None)]
+    kept = {r["doc_id"] for r in quality_rules.keep_good(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()}
+    assert 1500 in kept and 500 not in kept
+    assert len(kept & set(range(300))) > 290 and len(kept & set(range(1000, 1300))) > 290
+    assert kept >= {2000, 2001, 2002, 3000, 3001, 3002} and 3010 not in kept
+
+
 def test_sketches_merge(spark):
     halves = [spark.createDataFrame([("r", b, n) for b, n in x], "rate string, bucket long, n long") for x in ([(1, 3), (2, 5)], [(2, 1), (9, 4)])]
     merged = quality_rules.merge(halves[0].unionByName(halves[1]))

@@ -4,10 +4,18 @@ Each document's whole text gives a few counts, and from them rates in integers (
 characters; word length in hundredths). The rates of all documents that pass the base rules go into quantile sketches:
 histograms of integer buckets, kept per (lang, source), which merge by adding counts. They are reduced in every task
 before they are shuffled, are the same on every run, and hold at most about a thousand buckets a rate whatever the
-input. From a sketch come its quartiles, and a fence ``FENCE`` spreads beyond them; a spread counts as at least the
-rate's ``least`` so that a uniform source doesn't reject what differs by a hair. Sources with fewer than ``MIN_GROUP``
-documents use the sketch of their language, then that of all documents: the same buckets, added up. The fences are
-joined to the documents, and a document is kept if it passes the base rules and lies within every fence.
+input; a quantile read from one is off by less than a bucket.
+
+From a group's sketch come the quartiles of each rate, and a fence ``FENCE`` interquartile ranges beyond them. Nothing
+else sets where it lies or how wide it is: a source where nearly every document has a third of its characters in capitals
+or a symbol in ten gets a fence beyond that, one without symbols gets a fence at zero. The fence of a small group is
+drawn towards its language's, as if ``PRIOR`` documents of the language were among its own, and a language's towards that
+of all documents.
+
+A fence is a rate; what a document is judged by is its count. A document of n words meets a rate f by chance with a count
+of about n f, give or take its root, so the count may exceed n f by ``FENCE`` standard deviations of a count that comes in
+lots of ``LOT`` (a repeated window covers twice its words at least): a short document isn't rejected for one line said
+twice. The fences are joined to the documents, and a document is kept if it passes the base rules and every fence.
 
 Defined results: null text is an empty text, and fails; null lang and null source are groups of their own; repeated
 rows are judged each by itself, all alike; an empty table gives no rows; all other columns are carried along.
@@ -23,17 +31,19 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import packed, stage, trimmed, unpacked, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MIN_GROUP, FENCE = 200, 3
+PRIOR, FENCE = 30, 3
 _READ = ("text", "lang", "source")
-#: Rate: (numerator, factor, denominator, highest bucket, least spread, whether too little counts against it too).
+#: Rate: (count, factor, of how many, highest bucket, whether too little counts against it too).
 RATES = {
-    "symbols": ("n_symbols", 1000, "word_chars", 1000, 10, False),
-    "capitals": ("n_capitals", 1000, "word_chars", 1000, 30, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 1000, 170, False),
-    "echoes": ("n_echoes", 1000, "n_words", 1000, 30, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 1000, 90, False),
-    "word_length": ("word_chars", 100, "n_words", 5000, 40, True),
+    "symbols": ("n_symbols", 1000, "word_chars", 1000, False),
+    "capitals": ("n_capitals", 1000, "word_chars", 1000, False),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", 1000, False),
+    "echoes": ("n_echoes", 1000, "n_words", 1000, False),
+    "repeats": ("n_repeat_words", 1000, "n_words", 1000, False),
+    "word_length": ("word_chars", 100, "n_words", 5000, True),
 }
+#: Least number by which a count can grow, where that isn't one.
+LOT = {"repeats": 2 * WINDOW}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_echoes")
 
 
@@ -80,7 +90,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def _rate(name: str) -> Column:
-    above, factor, below, most, _, _ = RATES[name]
+    above, factor, below, most, _ = RATES[name]
     n, d = F.col(f"_quality.{above}"), F.col(f"_quality.{below}")
     return F.least(F.lit(most).cast("long"), F.when(d == 0, F.lit(0).cast("long")).otherwise(F.floor((n * factor).cast("decimal(20,0)") / d.cast("decimal(20,0)"))))
 
@@ -97,42 +107,53 @@ def merge(parts: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(merged: DataFrame, *keys: str) -> DataFrame:
-    """keys, and for each rate lo_ and hi_, for groups of at least MIN_GROUP documents (without keys: always)."""
+    """keys, docs, and for each rate hi_ and, where too little counts too, lo_: quartiles and FENCE ranges beyond."""
     group = Window.partitionBy(*keys, "rate")
     ranked = merged.withColumns({"cum": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
     at = lambda quarter: F.min(F.when(4 * F.col("cum") >= quarter * F.col("all"), F.col("bucket")))
     q = ranked.groupBy(*keys, "rate").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("docs"))
-    q = q.where(F.col("docs") >= (MIN_GROUP if keys else 1))
-    out = []
-    for r, (*_, least, both) in RATES.items():
-        spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+    spread = FENCE * (F.col("q3") - F.col("q1"))
+    out = [F.max("docs").alias("docs")]
+    for r, (*_, both) in RATES.items():
         out += [F.max(F.when(F.col("rate") == r, F.col("q3") + spread)).alias(f"hi_{r}")]
         out += [F.max(F.when(F.col("rate") == r, F.col("q1") - spread)).alias(f"lo_{r}")] if both else []
     return q.groupBy(*keys).agg(*out)
 
 
+LIMITS = [f"hi_{r}" for r in RATES] + [f"lo_{r}" for r, x in RATES.items() if x[-1]]
+
+
 def thresholds(scored: DataFrame) -> DataFrame:
-    """The fences that hold for each (lang, source) of ``scored``."""
+    """The fences that hold for each (lang, source) of ``scored``: lang, source, and LIMITS as doubles.
+
+    Small groups are drawn towards their language, languages towards all documents.
+    """
     parts = stage(sketches(scored), "quality-sketches")
     whole = fences(merge(parts)).first()
-    names = [f"hi_{r}" for r in RATES] + [f"lo_{r}" for r, x in RATES.items() if x[-1]]
-    fine, coarse = fences(parts, "lang", "source"), fences(merge(parts, "lang"), "lang")
-    fine = fine.select(F.col("lang").alias("l"), F.col("source").alias("s"), *[F.col(n).alias(f"a_{n}") for n in names])
-    coarse = coarse.select(F.col("lang").alias("l2"), *[F.col(n).alias(f"b_{n}") for n in names])
-    groups = scored.groupBy("lang", "source").agg(F.count("*").alias("docs"))
-    joined = groups.join(fine, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").join(coarse, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    # a single row without keys: the bounded numbers for all documents go in as literals
-    last = {n: F.lit(whole[n] if whole else None).cast("long") for n in names}
-    return stage(joined.select("lang", "source", *[F.coalesce(f"a_{n}", f"b_{n}", last[n]).alias(n) for n in names]), "quality-fences")
+    drawn = lambda own, docs, prior: (F.col(docs).cast("double") * F.col(own).cast("double") + F.lit(float(PRIOR)) * prior) / (F.col(docs).cast("double") + F.lit(float(PRIOR)))
+    # one row without keys: its few numbers go in as literals
+    last = {n: F.lit(whole[n]).cast("double") for n in LIMITS}
+    coarse = fences(merge(parts, "lang"), "lang").select(F.col("lang").alias("l"), *[drawn(n, "docs", last[n]).alias(f"b_{n}") for n in LIMITS])
+    fine = fences(parts, "lang", "source").join(coarse, F.col("lang").eqNullSafe(F.col("l")))
+    return stage(fine.select("lang", "source", *[drawn(n, "docs", F.col(f"b_{n}")).alias(n) for n in LIMITS]), "quality-fences")
+
+
+def _within(name: str) -> Column:
+    """Whether a document's count lies where the fences of its group and the chance of a count of its size allow."""
+    count, factor, of, _, both = RATES[name]
+    lot, n, d = float(LOT.get(name, 1)), F.col(f"_quality.{count}").cast("double"), F.col(f"_quality.{of}").cast("double")
+    expected = lambda limit: F.greatest(F.col(f"_limits.{limit}_{name}") * d / F.lit(float(factor)), F.lit(0.0))
+    chance = lambda e: F.lit(float(FENCE)) * F.sqrt(F.lit(lot) * (e + F.lit(lot)))
+    above = n <= expected("hi") + chance(expected("hi"))
+    return above & (n >= expected("lo") - chance(expected("lo"))) if both else above
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """``scored`` with a boolean column ``_kept``. Reads ``scored`` three times: stage it first."""
+    """``scored`` with a boolean column ``_kept``. Reads ``scored`` twice: stage it first."""
     given = thresholds(scored)
-    limits = given.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*[c for c in given.columns if c not in ("lang", "source")]).alias("_limits"))
+    limits = given.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*LIMITS).alias("_limits"))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    inside = [_rate(r) <= F.col(f"_limits.hi_{r}") for r in RATES] + [_rate(r) >= F.col(f"_limits.lo_{r}") for r, x in RATES.items() if x[-1]]
-    verdict = ~F.col("_quality.base_failed") & F.coalesce(reduce(Column.__and__, inside), F.lit(False))
+    verdict = ~F.col("_quality.base_failed") & F.coalesce(reduce(Column.__and__, [_within(r) for r in RATES]), F.lit(False))
     return out.withColumn("_kept", verdict).drop("_l", "_s", "_limits")
 
 

@@ -135,24 +135,37 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RATE_SQL = {
-    r: f"least({most}, CASE WHEN {d} = 0 THEN 0 ELSE ({f} * {n}) // {d} END)::BIGINT" for r, (n, f, d, most, _, _) in quality_rules.RATES.items()
+    r: f"least({most}, CASE WHEN {d} = 0 THEN 0 ELSE ({f} * {n}) // {d} END)::BIGINT" for r, (n, f, d, most, _) in quality_rules.RATES.items()
 }
 _FENCE_SQL = ", ".join(
-    f"max(q3 + {quality_rules.FENCE} * greatest(q3 - q1, {least})) FILTER (WHERE rate = '{r}') AS hi_{r}"
-    + (f", max(q1 - {quality_rules.FENCE} * greatest(q3 - q1, {least})) FILTER (WHERE rate = '{r}') AS lo_{r}" if both else "")
-    for r, (*_, least, both) in quality_rules.RATES.items()
+    f"max(q3 + {quality_rules.FENCE} * (q3 - q1)) FILTER (WHERE rate = '{r}') AS hi_{r}"
+    + (f", max(q1 - {quality_rules.FENCE} * (q3 - q1)) FILTER (WHERE rate = '{r}') AS lo_{r}" if both else "")
+    for r, (*_, both) in quality_rules.RATES.items()
 )
-_NAMES = [f"hi_{r}" for r in quality_rules.RATES] + [f"lo_{r}" for r, x in quality_rules.RATES.items() if x[-1]]
 
 
-def _fences_sql(keys: str, least: int) -> str:
+def _fences_sql(keys: str) -> str:
     by = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
-    return f"""(SELECT {by}{_FENCE_SQL} FROM (
+    return f"""(SELECT {by}max(total) AS docs, {_FENCE_SQL} FROM (
       SELECT {by}rate, min(bucket) FILTER (WHERE 4 * cum >= total) AS q1, min(bucket) FILTER (WHERE 4 * cum >= 3 * total) AS q3, any_value(total) AS total
       FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rate ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}rate) AS total
             FROM (SELECT {by}rate, bucket, sum(n) AS n FROM hist GROUP BY {by}rate, bucket))
-      GROUP BY {by}rate) WHERE total >= {least} {group})"""
+      GROUP BY {by}rate) {group})"""
+
+
+def _drawn_sql(t: str, own: str, prior: str) -> str:
+    p = f"{quality_rules.PRIOR}::DOUBLE"
+    return f"({t}.docs::DOUBLE * {t}.{own}::DOUBLE + {p} * {prior}::DOUBLE) / ({t}.docs::DOUBLE + {p})"
+
+
+def _within_sql(r: str) -> str:
+    n, factor, d, _, both = quality_rules.RATES[r]
+    lot = f"{quality_rules.LOT.get(r, 1)}::DOUBLE"
+    expected = lambda side: f"greatest({side}_{r} * {d}::DOUBLE / {factor}::DOUBLE, 0::DOUBLE)"
+    chance = lambda e: f"{quality_rules.FENCE}::DOUBLE * sqrt({lot} * ({e} + {lot}))"
+    above = f"{n}::DOUBLE <= {expected('hi')} + {chance(expected('hi'))}"
+    return above + (f" AND {n}::DOUBLE >= {expected('lo')} - {chance(expected('lo'))}" if both else "")
 
 
 OP2_SQL = rf"""
@@ -174,16 +187,14 @@ feat AS (
   FROM base b LEFT JOIN covered c USING (doc_id)),
 judged AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {", ".join(f"{x} AS r_{r}" for r, x in _RATE_SQL.items())} FROM feat),
 hist AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, r_{r} AS bucket, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY lang, source, r_{r}" for r in _RATE_SQL)}),
-fine AS {_fences_sql("lang, source", quality_rules.MIN_GROUP)},
-coarse AS {_fences_sql("lang", quality_rules.MIN_GROUP)},
-whole AS {_fences_sql("", 1)},
-limits AS (
-  SELECT j.*, {", ".join(f"coalesce(f.{n}, c.{n}, a.{n}) AS {n}" for n in _NAMES)}
-  FROM judged j LEFT JOIN fine f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source
-  LEFT JOIN coarse c ON j.lang IS NOT DISTINCT FROM c.lang CROSS JOIN whole a)
-SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed,
-       (NOT base_failed AND coalesce({" AND ".join(f"r_{r} <= hi_{r}" for r in _RATE_SQL)} AND {" AND ".join(f"r_{r} >= lo_{r}" for r, x in quality_rules.RATES.items() if x[-1])}, false)) AS kept
-FROM limits
+fine AS {_fences_sql("lang, source")},
+coarse AS {_fences_sql("lang")},
+whole AS {_fences_sql("")},
+langs AS (SELECT c.lang, {", ".join(f"{_drawn_sql('c', n, f'a.{n}')} AS {n}" for n in quality_rules.LIMITS)} FROM coarse c, whole a),
+groups AS (SELECT f.lang, f.source, {", ".join(f"{_drawn_sql('f', n, f'l.{n}')} AS {n}" for n in quality_rules.LIMITS)}
+  FROM fine f JOIN langs l ON f.lang IS NOT DISTINCT FROM l.lang)
+SELECT doc_id, {", ".join(quality_rules.COUNTS)}, base_failed, (NOT base_failed AND coalesce({" AND ".join(_within_sql(r) for r in quality_rules.RATES)}, false)) AS kept
+FROM judged j LEFT JOIN groups g ON j.lang IS NOT DISTINCT FROM g.lang AND j.source IS NOT DISTINCT FROM g.source
 """
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
