@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.shipping import ship
+
+ship(__name__)
+
 RATE = 136
 
 

@@ -40,6 +40,13 @@ def quantity(number: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.conv(number.cast("decimal(20,0)").cast("string"), 10, 16)))
 
 
+def u256(number: Column) -> Column:
+    """A decimal of up to 38 digits as 32 bytes."""
+    wide, half = number.cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")
+    digits = lambda n: F.lpad(F.conv(n.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0")
+    return F.unhex(F.concat(F.lit("00" * 16), digits(F.floor(wide / half)), digits(wide % half)))
+
+
 def quantity_u256(value: Column) -> Column:
     digits = F.regexp_replace(F.lower(F.hex(value)), "^0+", "")
     return F.concat(F.lit("0x"), F.when(digits == "", "0").otherwise(digits))

@@ -9,7 +9,8 @@ Strategies:
   One exchange, linear in both sides, spills.
 - ``bucketed``: the same within (key, range of blocks), after the newest version before each range has been found by a
   map-side aggregation. A key with a third of all versions or probes so spreads over as many tasks as it has ranges.
-- ``equi``: join on the key and take the newest match by aggregation; for few probes a key.
+- ``equi``: join each distinct (key, block) asked for on the key and take the newest match by aggregation; for few blocks
+  a key.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def as_of_join(probes: DataFrame, versions: DataFrame, on: list[str], strategy:
     side = versions.select(*on, F.col(version_block).alias("_at"), payload.alias("_version"))
     own = F.struct(*[F.col(c) for c in probes.columns])
     if strategy == "equi":
-        keyed = probes.withColumn("_probe", F.monotonically_increasing_id())
-        met = keyed.select(*on, "_probe", F.col(probe_block).alias("_b")).join(side, on).where("_at <= _b").groupBy("_probe").agg(F.max_by("_version", "_at").alias(name))
-        return keyed.join(met, "_probe", "left").drop("_probe")
+        wanted = probes.select(*on, probe_block).distinct()
+        met = wanted.join(side, on).where(F.col("_at") <= F.col(probe_block)).groupBy(*on, probe_block).agg(F.max_by("_version", "_at").alias(name))
+        return probes.join(met, [*on, probe_block], "left").select(*probes.columns, name)
     asked = probes.select(*on, F.col(probe_block).alias("_at"), F.lit(None).cast(side.schema["_version"].dataType).alias("_version"), own.alias("_own"))
     known = side.withColumn("_own", F.lit(None).cast(asked.schema["_own"].dataType))
     if strategy == "window":

@@ -89,7 +89,7 @@ def package_violations(records: DataFrame, schema: str) -> DataFrame:
         "block_end of another block": (kind == "block_end") & (F.col("number") != F.col("current")),
         "blocks not contiguous": (kind == "block") & (F.col("number") != F.col("prev_number") + 1), "parent hash": (kind == "block") & (F.col("parent_hash") != F.col("prev_hash")),
         "first parent is not the preceding block": (kind == "block") & (F.col("nth_block") == 1) & (F.col("mode_") == "delta") & (F.col("parent_hash") != F.col("preceding_hash_")),
-        "event outside its block": kind.isin("account", "storage") & ((F.col("open_before") != 1) | (F.col("block") != F.col("current"))), "code outside a block": (kind == "code") & (F.col("nth_block") == 0),
+        "event outside its block": kind.isin("account", "storage") & ((F.col("open_before") != 1) | (F.col("block") != F.col("current"))), "code outside a block": (kind == "code") & (F.col("open_before") != 1),
         "accounts not sorted": (kind == "account") & (F.col("prev_address") > F.col("address")), "account repeated": (kind == "account") & (F.col("prev_address") == F.col("address")),
         "live account without state": (kind == "account") & live & (F.col("nonce").isNull() | F.col("balance").isNull() | F.col("code_hash").isNull()),
         "tombstone with state": (kind == "account") & ~live & (F.col("nonce").isNotNull() | F.col("balance").isNotNull() | F.col("code_hash").isNotNull()),
