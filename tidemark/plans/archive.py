@@ -3,7 +3,8 @@
 A run is a folder named by a digest of its interval and contents, with a table each of accounts, storage and codes. Rows
 are dealt to 16 partitions by hash of address (code hash), so that an account and its storage lie together, and sorted
 by (key, block) within files, which gives Parquet's statistics the shape of fences; keys get Parquet Bloom filters.
-Files are written first and become visible only by the swap of the head, which is the one commit point.
+Files are written first and become visible only by the swap of the head, which is the one commit point. A run's digest
+is made of its interval, its number of rows and the sum of their hashes, so reading it anew tells whether it changed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -22,7 +23,7 @@ from tidemark.functions.keccak import EMPTY_CODE
 from tidemark.operators.asof import as_of_join
 from tidemark.operators.snapshot import Snapshot
 from tidemark.plans import gc, levels, probe
-from tidemark.plans.merge import DuplicateVersion, duplicates, merge_runs
+from tidemark.plans.merge import DuplicateVersion
 from tidemark.plans.store import Conflict, HeadFile, Store, digest_of
 from tidemark.sources.packages import Package
 
@@ -35,6 +36,8 @@ SCHEMAS = {
     "codes": "code_hash binary, first_seen_block bigint, code binary",
 }
 AT = {"accounts": "block", "storage": "block", "codes": "first_seen_block"}
+#: Blocks a range of a merged run, by which a hot key's versions spread.
+BUCKET = 4096
 #: Seconds: files younger than this may belong to a commit under way; a merge gives up before that.
 GC_AGE, MERGE_DEADLINE = 3 * 3600, 2 * 3600
 
@@ -74,7 +77,7 @@ class Archive:
         if block is not None and block > head["number"]:
             raise Rejected(f"block {block} is beyond head {head['number']}")
         runs = [r for r in runs_of(head) if block is None or r["start"] <= block]
-        return Snapshot(*[self.table(t, runs) for t in TABLES], head["number"], self.chain_id, empty_hash=EMPTY_CODE)
+        return Snapshot(*[self.table(t, runs) for t in TABLES], head["number"], self.chain_id, empty_hash=EMPTY_CODE, finalized=head.get("final", True))
 
     def describe(self) -> dict:
         """For health checks and gauges."""
@@ -84,36 +87,59 @@ class Archive:
     # --- writing
 
     def _write_run(self, tables: dict[str, DataFrame], start: int, end: int, weight: int) -> dict:
-        """Writes under a temporary name, checks that each (key, block) comes once, and renames to the digest."""
+        """Writes under a temporary name, checks that each (key, block) comes once, and renames to the digest.
+
+        A table is dealt and sorted once, as its files are; the same pass tells repeats by the row before, counts the rows
+        and adds up their hashes. Only the distinct keys of a merged run, whose versions may lie in several ranges of
+        blocks, are counted by an aggregation of their own.
+        """
         temporary = f"runs/{uuid.uuid4().hex}.tmp"
         counts, prints = {}, []
         for name, rows in tables.items():
-            keys, at = TABLES[name], AT[name]
-            part = S.partition_of(F.col(keys[0]))
-            dealt = rows.withColumn("part", part).repartition("part", *([F.floor(F.col(at) / 4096)] if weight > 1 else []))
-            writer = dealt.sortWithinPartitions("part", *keys, at).write.partitionBy("part").option("compression", "zstd")
+            keys, at, columns = TABLES[name], AT[name], [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+            bucket = F.floor(F.col(at) / BUCKET) if weight > 1 else F.lit(0).cast("long")
+            placed = rows.select(*columns).withColumns({"part": S.partition_of(F.col(keys[0])), "_range": bucket}).repartition("part", "_range")
+            order = Window.partitionBy("part", "_range", *keys).orderBy(at)
+            before = F.lag(at).over(order)
+            seen = Observation()
+            sorted_ = placed.withColumns({"_again": before == F.col(at), "_first": before.isNull()}).observe(
+                seen, F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("hash"), F.sum(F.col("_again").cast("long")).alias("again"), F.sum(F.col("_first").cast("long")).alias("keys")
+            )
+            writer = sorted_.drop("_again", "_first", "_range").write.partitionBy("part").option("compression", "zstd")
             for key in keys[:1]:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
             writer.parquet(f"{self.root}/{temporary}/{name}")
-            written = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{temporary}/{name}")
-            if name != "codes" and duplicates(written, keys).limit(1).count():
+            found = seen.get
+            if name != "codes" and found["again"]:
                 self.store.delete(temporary)
                 raise DuplicateVersion(f"{name} has a key twice at one block")
-            n, mixed, unique = written.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.countDistinct(*keys)).first()
-            counts[name] = unique
-            prints.append((name, n, str(mixed)))
-        digest = hashlib.sha256(repr((start, end, prints)).encode()).hexdigest()
+            counts[name] = int(found["keys"] or 0)
+            if weight > 1:
+                counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{temporary}/{name}").select(*keys).distinct().count()
+            prints.append(_print(name, found["rows"], found["hash"]))
+        digest = _digest(start, end, prints)
         if not self.store.rename_new(temporary, f"runs/{digest}"):
+            # equal contents are there already; as they may be old, collection mustn't take them before the head's swap
+            self.store.touch(f"runs/{digest}")
+            if not self.store.exists(f"runs/{digest}") and not self.store.rename_new(temporary, f"runs/{digest}"):
+                raise Conflict(f"run {digest} comes and goes")
             self.store.delete(temporary)
         return {"digest": digest, "start": start, "end": end, "weight": weight, "keys": sum(counts.values()), "shards": 1}
 
-    def publish(self, package: Package, finalized: tuple[int, str] | None = None) -> bool:
-        """Adds a package's changes; False if it is the head already. Nothing is visible before the head's swap."""
+    def publish(self, package: Package, finalized: tuple[int, str] | None = None, observed: tuple[int, str, int] | None = None) -> bool:
+        """Adds a package's changes; False if it is the head already. Nothing is visible before the head's swap.
+
+        A gate must hold if one is given: the package ends at the ``finalized`` block, or at the ``observed`` one, whose
+        number, hash and offset behind the tip are given and whose offset must be 0. What is published through the latter
+        isn't final, and the head says so.
+        """
         number, block_hash, state_root = package.last
         if package.chain_id != self.chain_id:
             raise Rejected(f"chain {package.chain_id} is not {self.chain_id}")
         if finalized is not None and finalized != (number, block_hash):
             raise Rejected("the package doesn't end at the finalized block")
+        if observed is not None and observed != (number, block_hash, 0):
+            raise Rejected("the package doesn't end at the observed block, without an offset")
         version, head = self.head()
         if head and (head["number"], head["hash"], head["input_sha256"]) == (number, block_hash, package.digest):
             return False
@@ -122,7 +148,7 @@ class Archive:
         for _ in range(RETRIES):
             new = {
                 "magic": MAGIC, "chain_id": self.chain_id, "genesis": package.genesis, "number": number, "hash": block_hash, "state_root": state_root, "input_sha256": package.digest,
-                "parent": version or None, "l0": [*(head["l0"] if head else []), run], "levels": head["levels"] if head else [],
+                "parent": version or None, "final": observed is None, "l0": [*(head["l0"] if head else []), run], "levels": head["levels"] if head else [],
             }
             check_head(new, self.chain_id)
             try:
@@ -159,13 +185,17 @@ class Archive:
             level += 1
         while level >= len(now):
             now.append(None)
-        tables = {t: merge_runs([self.table(t, [r]) for r in merged], TABLES[t]) if t != "codes" else self.table(t, merged).groupBy("code_hash").agg(F.min("first_seen_block").alias("first_seen_block"), F.min_by("code", "first_seen_block").alias("code")) for t in TABLES}
+        # not merged here: writing a run deals and sorts its rows
+        tables = {t: self.table(t, merged) for t in ("accounts", "storage")}
+        tables["codes"] = self.table("codes", merged).groupBy("code_hash").agg(F.min("first_seen_block").alias("first_seen_block"), F.min_by("code", "first_seen_block").alias("code"))
         now[level] = self._write_run(tables, merged[0]["start"], merged[-1]["end"], weight)
         for _ in range(RETRIES):
             if time.time() - began > MERGE_DEADLINE:
                 raise Conflict("the merge took too long to be sure of its inputs")
             try:
-                self.heads.compare_and_swap(version, {**head, "parent": version, "l0": head["l0"][levels.BUFFER :], "levels": now})
+                new = {**head, "parent": version, "l0": head["l0"][levels.BUFFER :], "levels": now}
+                check_head(new, self.chain_id)
+                self.heads.compare_and_swap(version, new)
                 return True
             except Conflict:
                 version, head = self.head()  # newer packages may have been added behind
@@ -192,21 +222,33 @@ class Archive:
         return live
 
     def collect_garbage(self, keep_heads: int = 2, min_age: float = GC_AGE, dry_run: bool = False) -> dict:
-        """Deletes runs that no kept head reaches; marks before and after listing, and spares what is young."""
-        cutoff = (time.time() - min_age) * 1000
+        """Deletes runs, and what crashed writers left of some, that no kept head reaches, and heads beyond ``keep_heads``.
+
+        What is reachable is marked before and after listing, and once more before the first deletion; what is young is
+        spared, by its age when listed and again when its turn comes.
+        """
+        cutoff = int((time.time() - min_age) * 1000)
         live = self.reachable(keep_heads)
-        listed = self.store.list("runs")
+        listed = self.store.list("runs", temporary=True)
         live |= self.reachable(keep_heads)
         rows = self.spark.createDataFrame(listed or [("", 0, 0)], "key string, size long, modified long").where("key <> ''")
         marked = self.spark.createDataFrame([(k,) for k in live] or [("",)], "key string")
-        swept = gc.sweep(rows, marked, F.col("modified") <= int(cutoff))
+        swept = gc.sweep(rows, marked, F.col("modified") <= cutoff)
         out = gc.report(swept).first().asDict()
-        for r in [] if dry_run else swept.where("state = 'doomed'").select("key").collect():  # a manifest's worth of runs
-            self.store.delete(r["key"])
+        doomed = [r["key"] for r in swept.where("state = 'doomed'").select("key").collect()]  # a manifest's worth of runs
+        version, _ = self.heads.read()
+        old = [k for k, _, m in self.store.list(self.heads.folder) if m <= cutoff and k < self.heads.key(max(version - keep_heads, 1))]
+        out["heads"] = len(old)
+        if not dry_run:
+            again = self.reachable(keep_heads)
+            for key in [*doomed, *old]:
+                modified = self.store.modified(key)
+                if key not in again and modified is not None and modified <= cutoff:
+                    self.store.delete(key)
         return out
 
     def verify(self, deep: bool = False) -> dict:
-        """The head is sound and its runs are there; ``deep`` (an extension) also recounts every run's keys."""
+        """The head is sound and its runs are there; ``deep`` (an extension) also reads every run and takes its digest anew."""
         _, head = self.head()
         if head is None:
             raise Rejected("the archive is empty")
@@ -214,17 +256,46 @@ class Archive:
             if not self.store.exists(f"runs/{run['digest']}"):
                 raise Rejected(f"run {run['digest']} is missing")
             if deep:
-                keys = sum(self.table(t, [run]).agg(F.countDistinct(*k)).first()[0] for t, k in TABLES.items())
-                if keys != run["keys"]:
-                    raise Rejected(f"run {run['digest']} holds {keys} keys, not {run['keys']}")
+                prints = []
+                for name in TABLES:
+                    rows = self.table(name, [run])
+                    prints.append(_print(name, *rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()))
+                if _digest(run["start"], run["end"], prints) != run["digest"]:
+                    raise Rejected(f"run {run['digest']} holds other rows than were written")
         return {"number": head["number"], "runs": len(runs_of(head)), "keys": sum(r["keys"] for r in runs_of(head))}
 
+    def refresh(self, pinned: Snapshot) -> Snapshot:
+        """The newest snapshot, unless it would go back behind ``pinned``, or can't be had: then ``pinned`` itself."""
+        try:
+            newest = self.snapshot()
+        except (Rejected, OSError, ValueError):
+            return pinned
+        return pinned if newest.head < pinned.head else newest
+
     def probe(self, samples: DataFrame) -> DataFrame:
-        """Quantiles of the reads that cold lookups of samples (address, slot, block) would cost."""
+        """Quantiles of the reads that cold lookups of samples (address, slot, block) would cost: the account, and where
+        it is live and a slot is given, the slot. Samples beyond the head are ``errors``, and count in nothing else."""
         _, head = self.head()
-        newest = self.table("accounts", runs_of(head)).select("address", "block")
-        hit = as_of_join(samples, newest.withColumn("at", F.col("block")), ["address"], name="hit")
-        return probe.quantiles(hit.select("block", F.col("hit.at").alias("found")).withColumn("gets", probe.account_reads([(r["start"], r["end"]) for r in runs_of(head)])))
+        runs = runs_of(head)
+        slotted = samples if "slot" in samples.columns else samples.withColumn("slot", F.lit(None).cast("binary"))
+        sound = slotted.where(F.col("block").between(0, head["number"]))
+        accounts = self.table("accounts", runs).select("address", "block", F.col("block").alias("at"), "exists", "incarnation")
+        hit = as_of_join(sound, accounts, ["address"], name="hit").withColumn("incarnation", F.when(F.col("hit.exists"), F.col("hit.incarnation")))
+        storage = self.table("storage", runs).select("address", "incarnation", "slot", "block", F.col("block").alias("at"))
+        both = as_of_join(hit, storage, ["address", "incarnation", "slot"], name="held")
+        asked = F.col("incarnation").isNotNull() & F.col("slot").isNotNull()
+        costs = both.select("block", F.col("hit.at").alias("found"), asked.alias("asked"), F.col("held.at").alias("slot_found"))
+        out = probe.quantiles(costs.withColumn("gets", probe.storage_reads([(r["start"], r["end"]) for r in runs])))
+        errors = slotted.where(~F.coalesce(F.col("block").between(0, head["number"]), F.lit(False))).count()
+        return out.withColumn("errors", F.lit(errors).cast("long"))
+
+
+def _print(name: str, rows: int, mixed: object) -> tuple:
+    return name, int(rows), str(int(mixed or 0))
+
+
+def _digest(start: int, end: int, prints: list[tuple]) -> str:
+    return hashlib.sha256(repr((start, end, prints)).encode()).hexdigest()
 
 
 def runs_of(head: dict) -> list[dict]:

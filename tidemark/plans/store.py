@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import fcntl
 import hashlib
 import json
+import os
+import tempfile
+import time
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Conflict(RuntimeError):
@@ -45,44 +51,83 @@ class Store:
             stream.close()
 
     def put_immutable(self, key: str, data: bytes) -> None:
-        """Create-only: equal bytes that are there already are success, others a conflict."""
-        temporary = f"{key}.{uuid.uuid4().hex}.tmp"
-        stream = self.fs.create(self.path(temporary), False)
-        stream.write(bytearray(data))
-        stream.close()
-        if not self._rename_new(temporary, key):
-            self.fs.delete(self.path(temporary), True)
+        """Create-only: equal bytes that are there already are success, and count as written now; others a conflict."""
+        if not self.put_new(key, data):
             if self.read(key, max(len(data), 1 << 18)) != data:
                 raise Conflict(key)
+            self.touch(key)
+
+    def put_new(self, key: str, data: bytes) -> bool:
+        """Creates an object whole, or not at all and False if there is one: of two writers one wins.
+
+        Local files are written aside, synced, and renamed under a lock; elsewhere the file system's own exclusive
+        creation decides (object stores are asked for a conditional write).
+        """
+        if self.local is not None:
+            temporary = f"{key}.{uuid.uuid4().hex}.tmp"
+            os.makedirs(os.path.dirname(f"{self.local}/{key}"), exist_ok=True)
+            with open(f"{self.local}/{temporary}", "wb") as file:
+                file.write(data)
+                file.flush()
+                os.fsync(file.fileno())
+            if self.rename_new(temporary, key):
+                return True
+            os.unlink(f"{self.local}/{temporary}")
+            return False
+        try:
+            builder = self.fs.createFile(self.path(key)).recursive().overwrite(False).opt("fs.option.create.conditional.overwrite", True)
+            stream = builder.build()
+            stream.write(bytearray(data))
+            stream.close()
+        except Py4JJavaError as e:
+            if self.exists(key):
+                return False
+            raise OSError(f"can't create {key}") from e
+        return True
 
-    def _rename_new(self, source: str, target: str) -> bool:
-        """Rename that never replaces; local files need a lock for that, as their rename does replace."""
-        if self.fs.getScheme() == "file":
-            import fcntl
-            import os
+    @property
+    def local(self) -> str | None:
+        """The root as a local folder, if it is one."""
+        return self.root.removeprefix("file://") if self.fs.getScheme() == "file" else None
 
-            base = self.root.removeprefix("file://")
+    def rename_new(self, source: str, target: str) -> bool:
+        """Rename that never replaces; local files need a lock for that, as their rename does replace."""
+        if self.local is not None:
+            base = self.local
             os.makedirs(os.path.dirname(f"{base}/{target}"), exist_ok=True)
             with open(f"{base}/.lock", "w") as lock:
                 fcntl.flock(lock, fcntl.LOCK_EX)
                 if os.path.exists(f"{base}/{target}"):
                     return False
                 os.rename(f"{base}/{source}", f"{base}/{target}")
+                folder = os.open(os.path.dirname(f"{base}/{target}"), os.O_RDONLY)
+                try:
+                    os.fsync(folder)
+                finally:
+                    os.close(folder)
                 return True
         self.fs.mkdirs(self.path(target).getParent())
         return not self.exists(target) and self.fs.rename(self.path(source), self.path(target))
 
-    def rename_new(self, source: str, target: str) -> bool:
-        return self._rename_new(source, target)
+    def touch(self, key: str) -> None:
+        """Counts as modified now, so that collection, which spares what is young, spares it."""
+        if self.local is not None:
+            os.utime(f"{self.local}/{key}")
+        else:
+            self.fs.setTimes(self.path(key), int(time.time() * 1000), -1)
 
-    def list(self, key: str) -> list[tuple[str, int, int]]:
-        """(key, bytes, modified in ms) of the entries under a key; temporary ones are left out."""
+    def modified(self, key: str) -> int | None:
+        """When it was last modified, in ms; None if it isn't there."""
+        return self.fs.getFileStatus(self.path(key)).getModificationTime() if self.exists(key) else None
+
+    def list(self, key: str, temporary: bool = False) -> list[tuple[str, int, int]]:
+        """(key, bytes, modified in ms) of the entries under a key; what writers have under way only if ``temporary``."""
         if not self.exists(key):
             return []
         found = self.fs.listStatus(self.path(key))
         names = [(s.getPath().getName(), s) for s in found]
         size = lambda s: self.fs.getContentSummary(s.getPath()).getLength() if s.isDirectory() else s.getLen()
-        return [(f"{key}/{n}", size(s), s.getModificationTime()) for n, s in names if not n.endswith(".tmp") and not n.startswith(".")]
+        return [(f"{key}/{n}", size(s), s.getModificationTime()) for n, s in names if (temporary or not n.endswith(".tmp")) and not n.startswith(".")]
 
     def delete(self, key: str) -> bool:
         return self.fs.delete(self.path(key), True)
@@ -91,7 +136,7 @@ class Store:
 class HeadFile:
     """A chain's head: numbered manifests of which the highest counts; a swap creates the next number, once.
 
-    Whoever comes second finds the number taken and fails, on any file system whose rename doesn't replace.
+    Whoever comes second finds the number taken and fails, as files are created exclusively.
     """
 
     LIMIT = 256 << 10
@@ -103,12 +148,12 @@ class HeadFile:
         numbers = sorted(int(k.rsplit("-", 1)[1].removesuffix(".json")) for k, _, _ in self.store.list(self.folder))
         if not numbers:
             return 0, None
-        return numbers[-1], json.loads(self.store.read(self._key(numbers[-1]), self.LIMIT))
+        return numbers[-1], json.loads(self.store.read(self.key(numbers[-1]), self.LIMIT))
 
     def at(self, version: int) -> dict | None:
-        return json.loads(self.store.read(self._key(version), self.LIMIT)) if self.store.exists(self._key(version)) else None
+        return json.loads(self.store.read(self.key(version), self.LIMIT)) if self.store.exists(self.key(version)) else None
 
-    def _key(self, version: int) -> str:
+    def key(self, version: int) -> str:
         return f"{self.folder}/head-{version:012d}.json"
 
     def compare_and_swap(self, version: int, head: dict) -> int:
@@ -116,12 +161,7 @@ class HeadFile:
         if len(data) > self.LIMIT:
             raise ValueError("head is too large")
         now, _ = self.read()
-        key = f"{self._key(version + 1)}.{uuid.uuid4().hex}.tmp"
-        stream = self.store.fs.create(self.store.path(key), False)
-        stream.write(bytearray(data))
-        stream.close()
-        if now != version or not self.store.rename_new(key, self._key(version + 1)):
-            self.store.delete(key)
+        if now != version or not self.store.put_new(self.key(version + 1), data):
             raise Conflict(f"head is at {now}, not {version}")
         return version + 1
 
@@ -130,9 +170,46 @@ def digest_of(head: dict) -> str:
     return hashlib.sha256(json.dumps(head, sort_keys=True).encode()).hexdigest()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary one is made, once a session, if all runs in one process (master ``local``); on a
+    cluster that would be a folder of each machine's own, and is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset."""
-    import tempfile
+    """A new folder's name under the shared one. What is written there is deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(clear_scratch, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that ``scratch`` has named so far; frames that read from there can't be read any more."""
+    while _SCRATCH:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may have gone first; the folder's owner clears the rest
+            _SCRATCH.clear()
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the files: a costly pass doesn't run twice, and outlives executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

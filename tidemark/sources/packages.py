@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
+from tidemark.functions.shipping import ship
 from tidemark.operators import validate
+from tidemark.plans.store import stage
+
+ship(__name__)
 
 #: The package format that is read and written; a parameter, for archives that name theirs otherwise.
 SCHEMA = "state-export/1"
@@ -43,8 +47,12 @@ def _text(contents: pd.Series) -> pd.Series:
 
 
 def files(spark: SparkSession, path: str, most: int = MAX_DECODED) -> DataFrame:
-    """Files of at most ``most`` bytes under a path; larger ones are left out by their listing, before they are read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
+    """Files under a path. One of more than ``most`` bytes is refused by its listing, before any is read."""
+    listed = spark.read.format("binaryFile").load(path)
+    large = listed.where(F.col("length") > most).select("path", "length").limit(1).collect()
+    if large:
+        raise InvalidPackage(f"{large[0]['path']} has {large[0]['length']} bytes, the limit is {most}")
+    return listed
 
 
 def read_lines(content: DataFrame) -> DataFrame:
@@ -89,7 +97,7 @@ def tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 
 def read_package(lines: DataFrame, schema: str = SCHEMA) -> Package:
     """The one package of ``lines``, validated: every rule's violations must be none."""
-    records = validate.decode(lines)
+    records = stage(validate.decode(lines), "package")
     bad = validate.package_violations(records, schema).limit(5).collect()
     if bad:
         raise InvalidPackage("; ".join(f"line {r['line_no']}: {r['rule']}" for r in bad))
