@@ -446,7 +446,7 @@ _SELECTORS = ("latest", "safe", "finalized", "earliest", "pending", "0x0", "0x1f
 
 @query("""
 WITH head AS (SELECT max(event_id) // 10 AS head FROM events),
-s AS (SELECT * FROM (VALUES ('latest', NULL), ('safe', NULL), ('finalized', NULL), ('earliest', 0), ('pending', -1), ('0x0', 0), ('0x1f', 31), ('17', 17), ('0x00', -1), ('0xffffff', 16777215), ('junk', -1), ('-1', -1)) v(selector, n)),
+s AS (SELECT * FROM (VALUES ('latest', NULL), ('safe', NULL), ('finalized', NULL), ('earliest', 0), ('pending', -1), ('0x0', 0), ('0x1f', 31), ('17', -1), ('0x00', -1), ('0xffffff', 16777215), ('junk', -1), ('-1', -1)) v(selector, n)),
 r AS (SELECT selector, coalesce(n, head)::BIGINT AS b, head FROM s, head)
 SELECT selector, CASE WHEN b BETWEEN 0 AND head THEN b END AS block, (CASE WHEN b < 0 THEN -32602 WHEN b > head THEN -32001 END)::INT AS error_code FROM r""")
 def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,7 +467,7 @@ def rpc_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pinned, probes = _snapshot(spark, sf_dir)
     methods = F.array(*[F.lit(m) for m in ("eth_getBalance", "eth_getTransactionCount", "eth_getCode", "eth_getStorageAt", "eth_blockNumber", "eth_getProof")])
     asked = probes.select(F.col("probe_id").alias("request_id"), F.element_at(methods, (F.col("probe_id") % 6 + 1).cast("int")).alias("method"), "address", "slot", scalars.quantity(F.col("block")).alias("selector"))
-    return pinned.answer(asked, F.lit(0).cast("long"), scalars.quantity)
+    return pinned.answer(asked)
 
 
 @query("SELECT o_orderkey, '0x' || format('{:x}', o_orderkey * 7919) AS wire, (o_orderkey * 7919)::DECIMAL(20,0) AS number FROM orders")
@@ -503,13 +503,18 @@ def summary_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('bytes=1-3', 'satisfiable', 1, 3), ('bytes=-2', 'satisfiable', 4, 2), ('bytes=4-', 'satisfiable', 4, 2), ('bytes=7-8', 'unsatisfiable', NULL, NULL), ('bytes=4-3', 'ignore', NULL, NULL),
-  ('bytes=-0', 'unsatisfiable', NULL, NULL), ('bytes=0-1,3-4', 'ignore', NULL, NULL), ('items=0-1', 'ignore', NULL, NULL), ('junk', 'ignore', NULL, NULL)) v(header, verdict, "offset", length)""".replace("VALUES (", "VALUES (").replace("SELECT *", 'SELECT header, verdict, "offset"::BIGINT AS "offset", length::BIGINT AS length'))
+WITH o AS (SELECT unnest([NULL, 0, 1, 2, 3, 4]) AS n),
+g AS (SELECT u.unit, s.size, a.n AS a, b.n AS b, u.unit || '=' || coalesce(a.n::VARCHAR, '') || '-' || coalesce(b.n::VARCHAR, '') AS header FROM o a, o b, range(0, 4) s(size), (VALUES ('bytes'), ('lines')) u(unit)),
+r AS (SELECT *, unit = 'bytes' AND (a IS NOT NULL OR b IS NOT NULL) AND (a IS NULL OR b IS NULL OR b >= a) AS sound,
+             CASE WHEN a IS NULL THEN least(b, size) ELSE least(coalesce(b, size - 1), size - 1) - a + 1 END AS len FROM g)
+SELECT header, size, CASE WHEN NOT sound THEN 'ignore' WHEN len <= 0 THEN 'unsatisfiable' ELSE 'satisfiable' END AS verdict,
+       (CASE WHEN sound AND len > 0 THEN coalesce(a, size - len) END)::BIGINT AS "offset", (CASE WHEN sound AND len > 0 THEN len END)::BIGINT AS length FROM r""")
 def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an HTTP range header asks of an object of six bytes."""
-    headers = ("bytes=1-3", "bytes=-2", "bytes=4-", "bytes=7-8", "bytes=4-3", "bytes=-0", "bytes=0-1,3-4", "items=0-1", "junk")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in headers])).alias("header"))
-    return rows.withColumn("r", scalars.parse_range(F.col("header"), F.lit(6))).select("header", "r.*")
+    """What every range header with bounds up to four, or without one or both, asks of objects of up to three bytes."""
+    bounds = F.array(F.lit(""), *[F.lit(str(n)) for n in range(5)])
+    grid = spark.range(4).select(F.col("id").alias("size"), F.explode(bounds).alias("a")).withColumn("b", F.explode(bounds)).withColumn("unit", F.explode(F.array(F.lit("bytes"), F.lit("lines"))))
+    rows = grid.select("size", F.concat("unit", F.lit("="), "a", F.lit("-"), "b").alias("header"))
+    return rows.withColumn("r", scalars.parse_range(F.col("header"), F.col("size"))).select("header", "size", "r.*")
 
 
 @query("SELECT c_custkey, 'objects/sha256/' || substr(sha256(c_name), 1, 2) || '/' || sha256(c_name) AS key FROM customer")
@@ -548,55 +553,3 @@ def package_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = F.when((kind == "block_end") & (number("number") % 7 == 0), wrong_count).when(dead, with_nonce).otherwise(F.col("line"))
     records = validate.decode(lines.withColumn("line", spoilt))
     return validate.package_violations(records, SCHEMA).groupBy("rule").agg(F.count("*").alias("n"))
-
-
-def _small_packages() -> list[str]:
-    """Five one-block packages: an account that is made, changes, goes, comes back, and changes again."""
-    import json
-
-    from tidemark.functions.keccak import EMPTY_CODE
-    from tidemark.sources.packages import SCHEMA
-
-    digest = lambda n: "0x" + f"{n + 1:02x}" * 32
-    made = []
-    for n, (exists, life) in enumerate([(True, 0), (True, 0), (False, 0), (True, 1), (True, 1)]):
-        start = {"mode": "anchor", "anchor_number": "0x0", "anchor_hash": digest(0)} if n == 0 else {"mode": "delta", "preceding_number": hex(n - 1), "preceding_hash": digest(n - 1)}
-        state = {"nonce": hex(n + 1), "balance": hex(100 * n), "code_hash": "0x" + EMPTY_CODE.hex()} if exists else {}
-        rows = [
-            {"type": "header", "schema": SCHEMA, "chain_id": "0x1", "genesis_hash": digest(0), **start},
-            {"type": "block", "number": hex(n), "hash": digest(n), "parent_hash": digest(n - 1) if n else "0x" + "00" * 32, "state_root": digest(n), "timestamp": hex(n)},
-            {"type": "account", "block": hex(n), "address": "0x" + "11" * 20, "exists": exists, "incarnation": hex(life), **state},
-            {"type": "block_end", "number": hex(n), "event_count": "0x1"},
-            {"type": "trailer", "end_number": hex(n), "end_hash": digest(n), "block_count": "0x1"},
-        ]
-        made.append("".join(json.dumps(r) + "\n" for r in rows))
-    return made
-
-
-@query()
-def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages published into a new archive, compacted, and read back."""
-    from tidemark.plans.archive import Archive
-    from tidemark.plans.store import scratch
-    from tidemark.sources.packages import package_from_text, read_package
-
-    archive = Archive(spark, scratch(spark, "archive"), 1)
-    for text in _small_packages():
-        archive.publish(read_package(package_from_text(spark, text)))
-    archive.compact()
-    return archive.snapshot().accounts.select("block", "exists", "incarnation", "nonce")
-
-
-@query()
-def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same packages as files of a stream, each published once."""
-    from tidemark.plans.archive import Archive
-    from tidemark.plans.store import Store, scratch
-    from tidemark.streaming.ingest import ingest
-
-    root = scratch(spark, "stream")
-    store, archive = Store(spark, root), Archive(spark, f"{root}/archive", 1)
-    for n, text in enumerate(_small_packages()):
-        store.put_immutable(f"in/{n}.jsonl", text.encode())
-        ingest(spark, f"{root}/in", archive, f"{root}/checkpoint").awaitTermination()
-    return archive.snapshot().accounts.select("block", "exists", "incarnation", "nonce")
