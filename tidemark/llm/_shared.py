@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship
+from tidemark.plans.store import stage
+
+__all__ = ["LOWER", "UPPER", "WS", "WS_CHARS", "ascii_lower", "load", "once", "packed", "ship", "stage", "trimmed", "unpacked", "unused", "words"]
+
 T = TypeVar("T")
 #: The six ASCII white-space characters that end a word, as a character class.
 WS = r"[\x20\x09-\x0D]"
@@ -20,29 +22,6 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary one is made, once a session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the files.
-
-    Cuts lineage, keeps a costly pass from running twice, and outlives lost executors. The files' size is known
-    to the planner, which so broadcasts a staged table only if it is below ``autoBroadcastJoinThreshold``.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
@@ -58,11 +37,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def ship(module: str) -> None:
-    """Pickle this module's functions by value, so executors need not have the package installed."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """``docs`` with all columns but those ``used`` in one struct, so no name of theirs can clash with ours."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
@@ -73,6 +47,13 @@ def unpacked(frame: DataFrame, columns: list[str], *used: str) -> DataFrame:
     return frame.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in columns])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with more underscores where a column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def once(key: object, make: Callable[[], T]) -> T:
     """``make()``, kept for later tasks of the same Python worker, which get new copies of shipped modules."""
     kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__

@@ -10,7 +10,8 @@ all documents hold is reduced in every task before it is shuffled.
 
 Defined results: null text counts as one empty line and stays null; a null doc_id is one document that sorts before
 all others; rows that repeat a doc_id are one document; a document that loses all its lines keeps its row with an
-empty text; other columns are carried along.
+empty text; other columns of any name are carried along, except that the operator's own n_lines and n_dropped replace
+any of the same names.
 """
 
 from __future__ import annotations
@@ -51,8 +52,18 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     return stage(gone.groupBy(*_OWN).agg(F.collect_set("pos").alias("gone")), "line-positions")
 
 
+OWN = ("n_lines", "n_dropped")
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the text that stays, and columns n_lines (before) and n_dropped."""
+    out = _deduped(packed(docs, "doc_id", "text"), min_chars, min_docs)
+    carried = [F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns if c not in OWN]
+    return out.select(*carried, *OWN)
+
+
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """Of documents whose other columns are packed."""
     gone = dropped_positions(docs, min_chars, min_docs)
     out = _identified(docs).join(gone.hint("merge"), list(_OWN), "left")
     out = out.withColumn("_ld_lines", _lines(F.col("text")))
@@ -70,7 +81,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 def with_shared_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with its own columns and the text that stays; n_chars, where there is one, is that text's length."""
-    out = line_dedup(packed(docs, "doc_id", "text", "n_chars"), min_chars, min_docs)
+    out = _deduped(packed(docs, "doc_id", "text", "n_chars"), min_chars, min_docs)
     if "n_chars" in docs.columns:
         chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, chars).otherwise(F.col("n_chars")))
