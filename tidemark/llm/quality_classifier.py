@@ -19,7 +19,8 @@ broadcast, so texts aren't shuffled. The weights (DIMENSIONS * 4 bytes) are broa
 Defined results: null or blank text has grade 0, probabilities 0, and isn't selected; labels without a quality are
 ignored, and a null toxic counts as not toxic; a document labelled more than once has its lowest grade; without any
 label every score is null and nothing is selected; repeated rows get the same score; a grade nobody has gets no
-probability; other columns are never looked at.
+probability; other columns are carried along, except that the operator's own columns replace any of the same names; very
+long texts are split into words whole, in one row's memory.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import ship, stage
+from tidemark.llm._shared import ship, stage, unused
 
 ship(__name__)
 
@@ -186,24 +187,26 @@ RESULT = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.Struct
 
 def classify(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """``docs`` with expected_grade, p_good (at least grade 1), p_top (the highest grade) and selected."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a broadcast's classes would be looked for on the executors
+    given = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.cuts))
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = _Words()
+        cache, fitted = _Words(), None if given.value is None else Ordinal(*given.value)
 
         def one(text: str | None) -> tuple:
-            if given.value is None:
+            if fitted is None:
                 return None, None, None
             numbers, values = features(text, cache)
             if not len(numbers):
                 return 0.0, 0.0, 0.0
-            p = given.value.probabilities(numbers, values)
+            p = fitted.probabilities(numbers, values)
             return float(p @ np.arange(GRADES)), float(p[1:].sum()), float(p[-1])
 
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=[f.name for f in RESULT], dtype="float64")
 
-    out = docs.withColumn("_qc", scored("text"))
-    out = out.withColumns({f.name: F.col(f"_qc.{f.name}") for f in RESULT}).drop("_qc")
+    own = unused("_qc", docs.columns)
+    out = docs.withColumn(own, scored("text"))
+    out = out.withColumns({f.name: F.col(f"{own}.{f.name}") for f in RESULT}).drop(own)
     return out.withColumn("selected", F.coalesce(F.col("p_top") >= SELECT, F.lit(False)))
