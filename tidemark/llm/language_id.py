@@ -11,18 +11,21 @@ language with the largest corrected count is the answer. Its share of all correc
 N-grams are of ``SIZES`` letters over the lower-cased text, in which whatever is no letter is one space.
 
 The classifier is fitted on a sample of at most about ``SAMPLE`` documents a language, chosen by hash among those with
-a language whose crc32 of doc_id isn't 0 modulo ``FOLDS``, and on at most ``LANGUAGES`` languages, the most frequent
-ones. No language has more than 1 / RATE n-grams of a size, so what the driver collects, and the table (``SLOTS`` * 8
-bytes for each 64 languages) that is broadcast, have a fixed bound. Prediction reads every document's whole text.
+a language whose crc32 of doc_id isn't 0 modulo ``FOLDS``. All languages are learned; the table takes ``SLOTS`` * 8
+bytes for each 64 of them, so more than ``LANGUAGES``, which no worker should have to hold, are refused with an error. The
+slots' masks are put together in Spark: what the driver collects and broadcasts is the table, one row a slot in use.
+Prediction reads every document's whole text.
 
 Defined results: null text or text without a letter is ``und`` with score 0; a text none of whose n-grams is known
 gets the first language by code point and a score of 1 / number of languages; ties go to the first by code point;
 without any learned language everything is ``und``; a null doc_id counts as held out; repeated rows all count;
-other columns are never looked at.
+very long texts are read piece by piece; other columns are carried along, except that the operator's own columns replace
+any of the same names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import once, ship, stage
+from tidemark.llm._shared import once, ship, stage, unused
 
 ship(__name__)
 
-FOLDS, SAMPLE, LANGUAGES = 5, 1000, 256
+FOLDS, SAMPLE, LANGUAGES = 5, 1000, 1024
 SIZES, RATE, PROBES, SLOTS = (2, 3, 4), 2e-5, 3, 1 << 20
 PIECE = 1 << 19
 UNDETERMINED = "und"
@@ -95,9 +98,10 @@ def slots(keys: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """The filters of all languages: ``table[word][slot]`` has the bits of languages 64 * word and on."""
 
-    def __init__(self, languages: list[str], grams: Iterable[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, languages: list[str], grams: Iterable[tuple[int, np.ndarray]] = (), table: np.ndarray | None = None) -> None:
+        """From n-gram keys by language number, or from a table that has them."""
         self.languages = languages
-        self.table = np.zeros((len(languages) + 63 >> 6, SLOTS), np.uint64)
+        self.table = np.zeros((len(languages) + 63 >> 6, SLOTS), np.uint64) if table is None else table
         for language, keys in grams:
             for at in slots(keys):
                 self.table[language >> 6][at] |= np.uint64(1 << (language & 63))
@@ -131,15 +135,18 @@ class Filters:
 
 def fit(docs: DataFrame) -> Filters:
     """Filters learned from text and lang of the documents that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out())
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not most:
-        return Filters([], [])
-    languages = sorted(r["lang"] for r in most)
-    share = {r["lang"]: min(1.0, SAMPLE / r["count"]) for r in most}
-    number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(i)) for i, x in enumerate(languages)])
-    part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(share[x] * (1 << 30)))) for x in languages])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part).select(number.alias("language"), "text")
+    spark = docs.sparkSession
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
+    found = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn: the table of their filters would be too large for a worker")
+    if not found:
+        return Filters([])
+    counted = sorted((r["lang"], r["count"]) for r in found)
+    languages = [lang for lang, _ in counted]
+    # at most LANGUAGES rows
+    numbered = spark.createDataFrame([(lang, i, int(min(1.0, SAMPLE / n) * (1 << 30))) for i, (lang, n) in enumerate(counted)], "lang string, language int, part long")
+    chosen = known.join(F.broadcast(numbered), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part")).select("language", "text")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,8 +162,15 @@ def fit(docs: DataFrame) -> Filters:
     counted = chosen.mapInPandas(count, "language int, size int, key long, n long").groupBy("language", "size", "key").agg(F.sum("n").alias("n"))
     counted = stage(counted, "language-ngrams")
     totals = counted.groupBy("language", "size").agg(F.sum("n").alias("total"))
-    frequent = counted.join(totals, ["language", "size"]).where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * RATE)).select("language", "key").toPandas()
-    return Filters(languages, ((int(i), x["key"].to_numpy().view(np.uint64)) for i, x in frequent.groupby("language")))
+    frequent = counted.join(totals, ["language", "size"]).where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * RATE)).select("language", "key")
+    bits = SLOTS.bit_length() - 1
+    probes = F.array(*[F.shiftrightunsigned("key", bits * i).bitwiseAND(F.lit(SLOTS - 1).cast("long")) for i in range(PROBES)])
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("language") % 64)
+    masks = frequent.select(F.floor(F.col("language") / 64).cast("int").alias("word"), own.alias("bit"), F.explode(probes).alias("slot")).groupBy("word", "slot").agg(F.bit_or("bit").alias("mask"))
+    rows = masks.toArrow()
+    table = np.zeros((len(languages) + 63 >> 6, SLOTS), np.uint64)
+    table[rows["word"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    return Filters(languages, table=table)
 
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -164,12 +178,16 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     """``docs`` with held_out, lang_pred and score."""
-    given = docs.sparkSession.sparkContext.broadcast(filters or fit(docs))
+    filters = filters or fit(docs)
+    # plain values: a broadcast's classes would be looked for on the executors
+    given, name = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table)), uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        learned = once(("filters", name), lambda: Filters(given.value[0], table=given.value[1]))
         for texts in batches:
-            yield pd.DataFrame([given.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([learned.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("held_out", held_out()).withColumn("_lid", predicted("text"))
-    return out.withColumns({f.name: F.col(f"_lid.{f.name}") for f in RESULT}).drop("_lid")
+    own = unused("_lid", docs.columns)
+    out = docs.withColumn("held_out", held_out()).withColumn(own, predicted("text"))
+    return out.withColumns({f.name: F.col(f"{own}.{f.name}") for f in RESULT}).drop(own)
