@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,6 +264,41 @@ def test_classifier_finds_grades_it_has_not_seen(spark, none):
     assert rows(quality_classifier.classify(none, model)) == []
 
 
+def test_ordinal_model_against_plain_python():
+    """Probabilities from the formula, and at the fitted point no change of a weight or a cut is any better."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(120):
+        numbers = np.array(sorted(rng.sample(range(6), 2)), np.int32)
+        score = sum(n - 2.5 for n in numbers) + rng.gauss(0, 2)
+        rows.append((int(score > -1) + int(score > 2), rng.choice([1.0, 2.0]), numbers, np.ones(2, np.float32)))
+    model = quality_classifier.train(rows)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(weights, cuts):
+        total = 0.0
+        for grade, weight, numbers, values in rows:
+            eta = sum(weights[n] * v for n, v in zip(numbers, values, strict=True))
+            upper, lower = (sigmoid(cuts[grade] - eta) if grade < 2 else 1.0), (sigmoid(cuts[grade - 1] - eta) if grade else 0.0)
+            total -= weight * np.log(max(upper - lower, 1e-12))
+        return total / sum(r[1] for r in rows) + quality_classifier.RIDGE / 2 * sum(w * w for w in weights[:6])
+
+    weights, cuts = model.weights.astype(float), np.array(model.cuts, float)
+    at = loss(weights, cuts)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            other = weights.copy()
+            other[i] += step
+            assert loss(other, cuts) > at - 1e-4
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(weights, cuts + step * np.eye(2)[k]) > at - 1e-4
+    for _, _, numbers, values in rows[:20]:
+        eta = float(weights[numbers] @ values)
+        want = [sigmoid(cuts[0] - eta), sigmoid(cuts[1] - eta) - sigmoid(cuts[0] - eta), 1 - sigmoid(cuts[1] - eta)]
+        assert model.probabilities(numbers, values) == pytest.approx(want, abs=1e-6)
+
+
 # 5
 
 
@@ -282,6 +318,44 @@ def test_language(spark, none):
     assert rows(language_id.identify(none.select("doc_id", "text", "lang"))) == []
 
 
+def test_corrected_popcounts_by_n_gram_sets(spark):
+    """Predictions recomputed from plain sets of n-grams; with filters as large as these no answer is a false positive."""
+    rng = random.Random(21)
+    sound = {f"l{i}": rng.sample("abcdefghijklmnopqrstuvwxyzéüñ", 9) for i in range(4)}
+    text = lambda x: " ".join("".join(rng.choices(sound[x], k=rng.randint(1, 6))) for _ in range(rng.randint(3, 60)))
+    given = [(i, text(x := rng.choice(list(sound))), x) for i in range(200)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
+
+    def grams(t):
+        t = re.sub(r"[^a-zéüñ]+", " ", f" {t.lower()} ")
+        return [(n, t[i : i + n]) for n in language_id.SIZES for i in range(len(t) - n + 1)]
+
+    seen = {x: Counter() for x in sound}
+    for i, t, x in given:
+        if zlib.crc32(str(i).encode()) % 5:
+            seen[x].update(grams(t))
+    totals = {(x, n): sum(c for (m, _), c in seen[x].items() if m == n) for x in sound for n in language_id.SIZES}
+    held = {x: {g for g, c in seen[x].items() if c >= max(2, totals[x, g[0]] * language_id.RATE)} for x in sound}
+    for r in language_id.identify(frame).collect():
+        hits = {x: sum(g in held[x] for g in grams(r["text"])) for x in sorted(sound)}
+        best = max(hits, key=hits.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(hits[best] / sum(hits.values()), abs=2e-3)
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    """Each with a word of its own; none is left out, and too many for the table are refused."""
+    rng = random.Random(12)
+    name = lambda i: "".join(chr(97 + i // 26**p % 26) for p in range(2))
+    own = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(300)]
+    given = [(i * 10 + j, f"{own[i]} " * 9, f"{name(i)}-X{i}") for i in range(300) for j in range(6)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string").repartition(4)
+    found = language_id.identify(frame).select("lang", "lang_pred", "held_out").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in found)
+    monkeypatch.setattr(language_id, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="299 languages"):
+        language_id.fit(frame)
+
+
 def test_ngrams_do_not_depend_on_pieces(monkeypatch):
     text = "Some, words!  12 and\nmore" * 30
     whole = {size: np.sort(keys) for size, keys in language_id.ngrams(text)}
@@ -355,6 +429,20 @@ def test_sentencepiece_parity_on_every_document(spark, docs, texts, none):
     assert rows(sentencepiece_tok.encode(none)) == []
 
 
+def test_parity_and_round_trip_are_asked_of_whole_documents(monkeypatch):
+    """Ids that are wrong for a document are told, however they came about."""
+    data = sentencepiece_tok.read_model()
+    encoder = sentencepiece_tok.Encoder(data)
+    texts = ["some plain words", "other plain words", "  odd   spaces ", None, ""]
+    assert [x.to_pylist() for x in encoder.encode(pa.array(texts))[2:]] == [[True, True, True, None, True]] * 2
+    number = encoder.numbers["some"]
+    encoder.ids[encoder.starts[number]] = 7
+    _, _, same, back = (x.to_pylist() for x in encoder.encode(pa.array(texts)))
+    assert same == [False, True, True, None, True] and back[0] is False
+    unasked = sentencepiece_tok.Encoder(data, parity=False).encode(pa.array(texts))
+    assert unasked[2].to_pylist() == [None] * 5 and unasked[0].to_pylist()[1] == encoder.encode(pa.array(texts))[0].to_pylist()[1]
+
+
 def _field(number, value):
     def varint(n):
         return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
@@ -403,6 +491,31 @@ def test_line_dedup(docs, texts, none):
     assert rows(line_dedup.line_dedup(none)) == []
 
 
+def test_columns_of_any_name_are_carried_along(spark):
+    """Every operator that returns its input's rows, on columns named like its own."""
+    names = ["gone", "h1", "pos", "shared", "score_", "fp", "rows", "_rest", "_sp_text", "_lid", "_qc", "ids_", "kth", "anchor"]
+    texts = ["a line that is long enough to count\nown words of it here %d" % i for i in range(4)]
+    frame = spark.createDataFrame([(i, t, "en", "s", *["x"] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(frame, quality_classifier.graded(labels))
+    outs = {
+        "lines": line_dedup.line_dedup(frame), "kept lines": line_dedup.with_shared_lines_dropped(frame), "language": language_id.identify(frame), "pieces": sentencepiece_tok.encode(frame),
+        "grades": quality_classifier.classify(frame, model), "near": simhash.near_dedup(frame), "mixed": mixing.emit(frame),
+    }
+    for what, out in outs.items():
+        row = out.orderBy("doc_id").first()
+        assert [row[n] for n in names] == ["x"] * len(names), what
+    assert [r["n_dropped"] for r in outs["lines"].withColumn("n_lines", F.lit("mine")).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+    again = line_dedup.line_dedup(outs["lines"].withColumn("n_lines", F.lit("mine")))
+    assert again.columns.count("n_lines") == 1 and again.schema["n_lines"].dataType.simpleString() == "bigint"
+
+
+def test_columns_named_like_an_operators_own_are_replaced(spark):
+    frame = spark.createDataFrame([(1, "some words", "mine", "mine", "mine")], "doc_id long, text string, ids string, score string, p_top string").withColumn("lang", F.lit("en"))
+    assert sentencepiece_tok.encode(frame).first()["ids"] != "mine"
+    assert language_id.identify(frame).first()["score"] != "mine" and quality_classifier.classify(frame, None).first()["p_top"] is None
+
+
 # 9
 
 

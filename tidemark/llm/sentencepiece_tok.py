@@ -5,11 +5,12 @@ precompiled character map and the white-space rules as normalisers, the metaspac
 as the model, byte fallback, and the decoder that undoes it all. Batches are encoded by the library's threads.
 
 Where no piece of the vocabulary holds a marker after another character, no merge can reach over such a place, so the
-text is cut there first: the same pieces come out, from short words that the library's cache knows.
+text is cut there first: the same pieces come out, from short words that are encoded once each, a batch at a time.
 
-Parity with the ``sentencepiece`` library is verified by ``verify_parity``: on fixed probes whenever a worker builds a
-tokenizer, and on every document for which ``parity`` is asked. The round trip (decoding gives back the text as the
-model's normaliser leaves it) is verified on every document.
+Parity with the ``sentencepiece`` library is verified by ``verify_parity`` on fixed probes whenever a worker builds a
+tokenizer, and on every document, whole: ``parity`` tells whether the library gives the same ids for its text. So is the
+round trip: ``round_trip`` tells whether the document's pieces, put together, are its text as the model's normaliser
+leaves it.
 
 The model's bytes go to the executors as a broadcast: read once, on the driver, from ``model_path``; a vocabulary has a
 bounded size. Defined results: null text has null ids, empty text none; repeated rows are encoded each; an empty table
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from tidemark.llm._shared import once, ship
+from tidemark.llm._shared import once, ship, unused
 
 ship(__name__)
 
@@ -177,13 +178,14 @@ class Encoder:
     """Encodes Arrow batches of texts, each distinct word of a stretch of the data once.
 
     Words are what lies between single spaces. Where the model leaves text as it is but for the marker, and no piece
-    reaches over a marker, a text's ids are its words' ids one after the other, and so are parity and round trip what
-    its words' are. Texts with other spacing, and all texts of other models, go through the library whole.
+    reaches over a marker, a text's ids are its words' ids one after the other. New words go through the library as a
+    batch, many in a text, on its threads. Texts with other spacing, and all texts of other models, go through it whole, likewise. Whether
+    the ids are right is then asked of each whole document.
 
     Memory: about ``WORDS`` words and one stretch of texts, whatever the batch.
     """
 
-    WORDS, STRETCH, GROUP = 300_000, 1 << 20, 1000
+    WORDS, STRETCH, GROUP = 300_000, 1 << 20, 100
 
     def __init__(self, data: bytes, parity: bool = True) -> None:
         import sentencepiece
@@ -192,6 +194,7 @@ class Encoder:
         self.tokenizer = ready(data)
         model = parse_model(data)
         self.by_words = self.tokenizer.pre_tokenizer is not None and model["prefix"] and model["escape"] and not (model["charsmap"] or model["squeeze"])
+        self.pieces = pa.array([bytes([int(text[3:-1], 16)]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in model["pieces"]], pa.binary())
         self.marked = np.array([text.startswith(MARK) for text, _, _ in model["pieces"]])
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data) if parity else None
         self.clear()
@@ -199,38 +202,63 @@ class Encoder:
     def clear(self) -> None:
         self.numbers = _Numbers()
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
-        self.equal, self.back = np.empty(0, bool), np.empty(0, bool)
 
-    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain = (normalised(self.tokenizer, t) for t in texts)
-        back = [x == y for x, y in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), plain, strict=True)]
-        equal = [x == y for x, y in zip(self.theirs.encode(texts, num_threads=1), ids, strict=True)] if self.theirs else [True] * len(texts)
-        return ids, equal, back
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        """Encodes the new words, a group as one text: a word's pieces begin where one has the marker."""
+        """Encodes the new words, ``GROUP`` of them as one text of the batch: a word's pieces begin where one has the marker."""
         new, self.numbers.new = self.numbers.new, []
-        found, sizes, equal, back = [self.ids], [], [self.equal], [self.back]
-        for i in range(0, len(new), self.GROUP):
-            words = new[i : i + self.GROUP]
-            text = " ".join(words)
-            listed = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(listed, np.int32)
-            at = np.flatnonzero(self.marked[ids])
-            whole = len(at) == len(words) and self.tokenizer.decode(listed, skip_special_tokens=False) == text
-            if whole and (not self.theirs or self.theirs.encode(text) == listed):
-                sizes.append(np.diff(np.append(at, len(ids))))
-                same = again = np.ones(len(words), bool)
+        if not new:
+            return
+        groups = [new[i : i + self.GROUP] for i in range(0, len(new), self.GROUP)]
+        ids, sizes = [self.ids], []
+        for words, listed in zip(groups, self._batch([" ".join(g) for g in groups]), strict=True):
+            found = np.array(listed, np.int32)
+            at = np.flatnonzero(self.marked[found])
+            if len(at) == len(words):
+                ids.append(found)
+                sizes.append(np.diff(np.append(at, len(found))))
             else:
-                each, same, again = self._whole(words)
-                ids = np.fromiter(itertools.chain.from_iterable(each), np.int32)
+                each = self._batch(words)
+                ids += [np.array(x, np.int32) for x in each]
                 sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-            found.append(ids)
-            equal.append(np.array(same, bool))
-            back.append(np.array(again, bool))
-        self.ids, self.equal, self.back = np.concatenate(found), np.concatenate(equal), np.concatenate(back)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.starts
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, one after the other, and how many each has; the texts have words and single spaces."""
+        lists = pc.split_pattern(texts, " ")
+        flat = lists.flatten().dictionary_encode()
+        number = np.fromiter(map(self.numbers.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        self._learn()
+        word = number[flat.indices.to_numpy()]
+        sizes = self.starts[word + 1] - self.starts[word]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - (ends - sizes), sizes)]
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
+        return ids, np.add.reduceat(sizes, first) if len(counts) else np.empty(0, np.int64)
+
+    def _same(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each text whether the sentencepiece library gives its ids."""
+        theirs = self.theirs.encode(texts, num_threads=1)
+        same = np.fromiter(map(len, theirs), np.int64, len(theirs)) == sizes
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(same & (sizes > 0)):
+            same[i] = np.array_equal(theirs[i], ids[ends[i] - sizes[i] : ends[i]])
+        return same
+
+    def _back(self, texts: list[str], plain: bool, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each text whether its pieces make it up again, after the normaliser of models that change it."""
+        if plain:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            made = pc.binary_join(pa.ListArray.from_arrays(offsets, self.pieces.take(pa.array(ids))), b"")
+            wanted = pc.binary_join_element_wise(pa.scalar(b" "), pa.array(texts, pa.string()).cast(pa.binary()), b"")
+            return pc.equal(made, wanted).to_numpy(zero_copy_only=False)
+        listed = np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+        made = self.tokenizer.decode_batch([x.tolist() for x in listed], skip_special_tokens=False)
+        return np.array([x == normalised(self.tokenizer, t) for x, t in zip(made, texts, strict=True)], bool)
 
     def encode(self, texts: pa.Array) -> list[pa.Array]:
         """ids, n_tokens, parity and round_trip of a stretch of texts."""
@@ -238,38 +266,35 @@ class Encoder:
             self.clear()
         n = len(texts)
         known = texts.is_valid().to_numpy(zero_copy_only=False)
-        text = pc.fill_null(texts, "")
         odd = np.ones(n, bool)
         if self.by_words:
+            text = pc.fill_null(texts, "")
             spaced = pc.or_(pc.or_(pc.starts_with(text, " "), pc.ends_with(text, " ")), pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, MARK)))
             odd = pc.or_(spaced, pc.equal(text, "")).to_numpy(zero_copy_only=False)
-        # words of the plain texts; one word that stands for nothing keeps the places of the others
-        lists = pc.split_pattern(text.filter(pa.array(~odd)), " ")
-        flat = lists.flatten().dictionary_encode()
-        number = np.fromiter(map(self.numbers.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
-        self._learn()
-        word = number[flat.indices.to_numpy()]
-        sizes = self.starts[word + 1] - self.starts[word]
-        ends = np.cumsum(sizes)
-        plain = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - (ends - sizes), sizes)]
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
-        tokens, equal, back = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
-        if len(counts):
-            tokens[~odd] = np.add.reduceat(sizes, first)
-            equal[~odd], back[~odd] = np.logical_and.reduceat(self.equal[word], first), np.logical_and.reduceat(self.back[word], first)
-        rest = np.flatnonzero(odd & known)
-        whole = self._whole([text[int(i)].as_py() for i in rest]) if len(rest) else ([], [], [])
-        tokens[rest], equal[rest], back[rest] = [len(x) for x in whole[0]], whole[1], whole[2]
-        ids = plain
-        if len(rest):
-            owner = np.repeat(np.arange(n), np.where(odd, 0, tokens))
-            ids = np.concatenate([plain, np.fromiter(itertools.chain.from_iterable(whole[0]), np.int32)])
-            ids = ids[np.argsort(np.concatenate([owner, np.repeat(rest, tokens[rest])]), kind="stable")]
+        tokens, same, back = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
+        parts, owners = [], []
+        for plain, rows in ((True, np.flatnonzero(known & ~odd)), (False, np.flatnonzero(known & odd))):
+            if not len(rows):
+                continue
+            some = texts.take(pa.array(rows))
+            listed = some.to_pylist()
+            if plain:
+                ids, sizes = self._plain(some)
+            else:
+                whole = self._batch(listed)
+                ids, sizes = np.fromiter(itertools.chain.from_iterable(whole), np.int32), np.fromiter(map(len, whole), np.int64, len(whole))
+            tokens[rows], back[rows] = sizes, self._back(listed, plain, ids, sizes)
+            if self.theirs:
+                same[rows] = self._same(listed, ids, sizes)
+            parts.append(ids)
+            owners.append(np.repeat(rows, sizes))
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        if len(parts) == 2:
+            ids = ids[np.argsort(np.concatenate(owners), kind="stable")]
         offsets = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32))
-        none = pa.array(~known)
-        masked = lambda x, kind: pa.array(x, kind, mask=~known)
-        return [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=none), masked(tokens, pa.int64()), masked(equal, pa.bool_()), masked(back, pa.bool_())]
+        masked = lambda x, kind, on=known: pa.array(x, kind, mask=~on)
+        checked = known if self.theirs else np.zeros(n, bool)
+        return [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array(~known)), masked(tokens, pa.int64()), masked(same, pa.bool_(), checked), masked(back, pa.bool_())]
 
 
 RESULT = {"ids": "array<int>", "n_tokens": "bigint", "parity": "boolean", "round_trip": "boolean"}
@@ -285,7 +310,7 @@ def _stretches(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, model: bytes | None = None, parity: bool = True, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ids, n_tokens, parity and round_trip of its text."""
+    """``docs`` with ids, n_tokens, parity (null unless asked for) and round_trip of its text."""
     given = docs.sparkSession.sparkContext.broadcast(model or read_model())
     carried = [c for c in docs.columns if c not in RESULT and (keep_text or c != "text")]
 
@@ -297,7 +322,7 @@ def encode(docs: DataFrame, model: bytes | None = None, parity: bool = True, kee
                 yield pa.RecordBatch.from_arrays([*own, *encoder.encode(part.column(len(carried)))], [*carried, *RESULT])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried], *[f"{c} {t}" for c, t in RESULT.items()]])
-    return docs.select(*carried, F.col("text").alias("_sp_text")).mapInArrow(encoded, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias(unused("_sp_text", carried))).mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, model: bytes | None = None, ids: str = "ids") -> DataFrame:
