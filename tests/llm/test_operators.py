@@ -219,15 +219,53 @@ def test_anchors_meet_all_links_and_skew_is_dealt_out(spark, monkeypatch):
     prints = [(i, p) for i, p in enumerate(sorted(near | far))]
     signed = [(i, struct.unpack("<q", struct.pack("<Q", p))[0]) for i, p in prints]
     monkeypatch.setattr(simhash, "CELL", 20)
-    found = rows(components(simhash.links(spark.createDataFrame(signed, "i long, fp long"))))
-    number = {p: i for i, p in signed}
-    groups: dict = {}
-    for node, root in found:
-        groups.setdefault(root, {root}).add(node)
     want: dict = {}
     for i, c in clusters(prints).items():
         want.setdefault(c, set()).add(i)
-    assert sorted(sorted(number[p] for p in g) for g in groups.values()) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    for scheme in (simhash.FEW, simhash.MANY):
+        found = rows(components(simhash.links(spark.createDataFrame(signed, "i long, fp long"), scheme)))
+        number = {p: i for i, p in signed}
+        groups: dict = {}
+        for node, root in found:
+            groups.setdefault(root, {root}).add(node)
+        assert sorted(sorted(number[p] for p in g) for g in groups.values()) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_every_pair_within_reach_of_a_block_meets():
+    """What differs in up to four bits is, in some block, at the home of the other, by either plan."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2**63, 300, dtype=np.int64)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(63, rng.integers(1, 5), replace=False):
+            y[i] ^= np.int64(1) << np.int64(b)
+    for scheme in (simhash.FEW, simhash.MANY):
+        homes, others = (set() for _ in range(2))
+        for i, key, home in zip(*simhash.anchors(x, scheme), strict=True):
+            homes |= {(i, key)} if home else set()
+        for i, key, _ in zip(*simhash.anchors(y, scheme), strict=True):
+            others.add((i, key))
+        assert {i for i, _ in homes & others} == set(range(300)) and len(homes) == 300 * len(scheme.blocks)
+
+
+def test_similar_texts_of_five_word_shingles(spark):
+    """Nearly all pairs of a similarity well above 0.8 are one document, and none of pairs well below."""
+    rng = random.Random(31)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(3000)]
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    table, alike, apart = [], [], []
+    for i in range(150):
+        text, rate = rng.choices(vocab, k=300), rng.choice([0.002, 0.01, 0.2])
+        other = [rng.choice(vocab) if rng.random() < rate else w for w in text]
+        j = len(grams(text) & grams(other)) / len(grams(text) | grams(other))
+        alike += [i] if j >= 0.9 else []
+        apart += [i] if j < 0.5 else []
+        table += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(table, "doc_id long, text string"), simhash.SIMILAR).collect()}
+    assert set(range(0, 300, 2)) <= kept
+    assert len(alike) > 30 and sum(2 * i + 1 in kept for i in alike) <= 0.02 * len(alike) and all(2 * i + 1 in kept for i in apart)
+    assert simhash.wide_fingerprint("some words of a text here", 5, 4)[0] == simhash.fingerprint("some words of a text here", 5)
+    assert [r["text"] for r in simhash.near_dedup(spark.createDataFrame([(1, None), (2, ""), (None, " ")], "doc_id long, text string"), simhash.SIMILAR).collect()] == [None]
 
 
 def test_components_of_chains(spark):
