@@ -2,6 +2,11 @@
 
 Each stage's function takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of ``documents``.
+
+Defined results: documents without text fail the quality rules; a null doc_id is an id like any other; rows that repeat a
+document are one after near-dedup, with the same copies in the mix; ties in mixing go to the first seed; whole texts of any
+length are read; columns besides doc_id, text, lang, source and n_chars are carried along by all stages but the last; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.near_dedup(docs)
+    """One document of each group whose five-word shingles are 0.8 or more alike, by SimHash's estimate, stays."""
+    return simhash.near_dedup(docs, simhash.SIMILAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
