@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import random
@@ -446,6 +447,37 @@ def test_normalised_members_stand_alone(spark):
         list(warc.records_in(zlib.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort", wbits=31)))
 
 
+def test_foreign_archives_and_saved_files(spark, tmp_path):
+    """Records of other writers are read as they are; what is saved as files is read back by its index."""
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+    def foreign(kind, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", *more, f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+    said = "Content-Type: application/http; msgtype=response"
+    whole = foreign("warcinfo", b"software: x\r\n") + foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request")
+    whole += foreign("response", http, said, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://a/") + foreign("revisit", http[: -len(body)], said, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:response>")
+    whole += foreign("metadata", b"") + foreign("response", http, said)
+    archives = spark.createDataFrame([("x/crawl.warc.gz", zlib.compress(whole, wbits=31))], warc.ARCHIVES)
+    normal = warc.normalise(archives)
+    found = [(r["record_type"], r["payload_bytes"], r["page_id"], r["refers_to"]) for r in warc.read_records(normal).collect()]
+    assert found == [("warcinfo", 13, None, None), ("request", 0, None, None), ("response", 12, None, None), ("revisit", None, None, None), ("metadata", 0, None, None), ("response", 12, None, None)]
+    wrong = spark.createDataFrame([("y", zlib.compress(foreign("response", http, said, "WARC-Payload-Digest: sha1:" + "A" * 32), wbits=31))], warc.ARCHIVES)
+    with pytest.raises(Exception, match="not what its headers say"):
+        warc.read_records(warc.normalise(wrong)).collect()
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i % 7} " * 40) for i in range(30)], "page_id long, url string, html string")
+    made = warc.normalise(warc.write_archives(warc.planned(pages).coalesce(2)))
+    saved = warc.save(made.unionByName(normal), f"file://{tmp_path}/out")
+    assert saved.agg(F.sum("records")).first()[0] == 36
+    files = sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith("."))
+    assert len(files) == 2 * saved.count() and "crawl-00000.warc.gz" in files and "crawl-00000.warc.gz.index.jsonl" in files
+    again = warc.read_records(warc.opened(spark, f"file://{tmp_path}/out"))
+    assert sorted(map(str, again.where("page_id IS NOT NULL").collect())) == sorted(map(str, warc.read_records(made).collect())) and again.count() == 36
+
+
 # 7
 
 

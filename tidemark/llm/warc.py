@@ -21,13 +21,17 @@ empty table gives no archives and no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import ship, stage
@@ -166,18 +170,35 @@ def normalise(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(_normalise, NORMALISED)
 
 
+def _checked(named: str, payload: bytes) -> bool | None:
+    """Whether a digest header (algorithm:value, in hex or base 32) is the payload's; None if the algorithm isn't known."""
+    algorithm, _, value = named.partition(":")
+    if algorithm.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return None
+    digest = hashlib.new(algorithm.lower().replace("-", ""), payload).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
 def read_member(member: bytes | memoryview) -> dict:
-    """One record from its member alone. A response's digest and length are those of the payload as read."""
+    """One record from its member alone.
+
+    A payload is what follows the HTTP headers of a response or request, and the whole block of other records. Its digest
+    and length are those of the payload as read; a revisit, which has none, has those that its headers name, if they do.
+    Records by other writers have no page_id.
+    """
     ((headers, whole),) = records_in(member)
     block = whole[whole.index(b"\r\n\r\n") + 4 : -4]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length")
-    named = headers["warc-payload-digest"].removeprefix("sha256:")
-    number = lambda urn: None if (n := urn.strip("<>").removeprefix(URN)) == "None" else int(n)
-    if headers["warc-type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != named):
+    kind, named = headers["warc-type"], headers.get("warc-payload-digest", "")
+    http, _, payload = block.partition(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    stated = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length" and v.strip().isdigit()), None)
+    own = headers["warc-record-id"].startswith(f"<{URN}")
+    if kind == "response" and ((own and len(payload) != stated) or _checked(named, payload) is False):
         raise ValueError(f"payload of {headers['warc-record-id']} is not what its headers say")
-    refers_to = number(headers["warc-refers-to"]) if "warc-refers-to" in headers else None
-    return {"page_id": number(headers["warc-record-id"]), "payload_bytes": length, "payload_digest": named, "record_type": headers["warc-type"], "refers_to": refers_to, "url": headers.get("warc-target-uri")}
+    urn = lambda name: (n if (n := headers.get(name, "").strip("<>")).startswith(URN) else "").removeprefix(URN)
+    number = lambda name: int(n) if (n := urn(name)).lstrip("-").isdigit() else None
+    told = named.removeprefix("sha256:") if named.startswith("sha256:") else None
+    length, digest = (stated, told) if kind == "revisit" else (len(payload), hashlib.sha256(payload).hexdigest())
+    return {"page_id": number("warc-record-id"), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to"), "url": headers.get("warc-target-uri")}
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +215,44 @@ def read_records(normalised: DataFrame) -> DataFrame:
     return normalised.select("start", "content", "index").mapInArrow(_read, RECORDS)
 
 
+def save(normalised: DataFrame, folder: str) -> DataFrame:
+    """Each part as a file of its own in ``folder`` (a URI that driver and executors share), with its index beside it.
+
+    Returns file and records of each. ``x.warc.gz`` is a whole archive of single members; ``x.warc.gz.index.jsonl`` has a
+    line a record, with its member's offset in that file and its length. Files are written aside and moved, so a task that
+    runs again writes the same ones anew.
+    """
+    from pyspark.sql.types import StructType
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                system, root = pa_fs.FileSystem.from_uri(folder)
+                system.create_dir(root, recursive=True)
+                name = f"{row['archive'].rsplit('/', 1)[-1].removesuffix('.gz').removesuffix('.warc')}-{row['part']:05d}.warc.gz"
+                lines = "".join(json.dumps({**x, "offset": x["offset"] - row["start"]}) + "\n" for x in row["index"])
+                for path, data in ((f"{root}/{name}", row["content"]), (f"{root}/{name}.index.jsonl", lines.encode())):
+                    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+                    with system.open_output_stream(aside) as out:
+                        out.write(data)
+                    system.move(aside, path)
+                done.append({"file": name, "records": len(row["index"])})
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("records", pa.int64())]))
+
+    return stage(normalised.mapInArrow(write, StructType.fromDDL("file string, records long")), "warc-files")
+
+
+def opened(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved archives with their indexes, as ``normalise`` gives them: whatever lies in ``folder`` as files of both kinds."""
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    entry = "record_id string, type string, offset long, length long"
+    lines = spark.read.schema(entry).option("pathGlobFilter", "*.index.jsonl").json(folder).withColumn("archive", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.index\.jsonl$", ""))
+    index = lines.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "record_id", "type", "length"))).alias("x"))
+    index = index.select("archive", F.transform("x", lambda e: F.struct(e["record_id"].alias("record_id"), e["type"].alias("type"), e["offset"].alias("offset"), e["length"].alias("length"))).alias("index"))
+    return content.join(index, "archive").select("archive", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), "content", "index")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Pages written as monolithic archives, normalised, and read back."""
     archives = stage(write_archives(planned(pages)), "warc-archives")
