@@ -46,7 +46,8 @@ def _segment(code: Column, i: int) -> Column:
 
 def _probes(queries: DataFrame, radius: int) -> DataFrame:
     """query, kth, segment, value: what is exactly ``radius`` bits from the query's segments."""
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda m: F.bit_count(m) == radius)
+    # a constant that is folded once: not looked for anew for every query
+    masks = F.split(F.lit(",".join(str(m) for m in range(1 << WIDTH) if m.bit_count() == radius)), ",").cast("array<int>")
     return _by_segment(queries, "query").withColumn("mask", F.explode(masks)).select("query", "kth", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
