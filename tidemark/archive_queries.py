@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import bloom
 from tidemark.functions import scalars as S
 from tidemark.functions.keccak import keccak_of
 from tidemark.operators.snapshot import requests_of
 from tidemark.plans.archive import Archive
 from tidemark.plans.store import scratch, stage
-from tidemark.queries import _EVENT_PROBES, _STORAGE, _address, _sql, query
+from tidemark.queries import _EVENT_PROBES, _KEYS, _STORAGE, _address, _keys, _sql, query
 from tidemark.sources import events as E
 from tidemark.sources.genesis import write_package
 from tidemark.sources.packages import files, read_lines, read_package
@@ -159,3 +160,39 @@ def keccak_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keccak-256 of texts whose hashes are published."""
     texts = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in KECCAK])).alias("text"))
     return texts.select("text", F.lower(F.hex(keccak_of(F.encode("text", "UTF-8")))).alias("digest"))
+
+
+_TWO64 = 1 << 64
+_BITS_SQL = f"""
+placed AS (
+  SELECT k, (('0x' || substr(sha256(unhex(substr(k, 3, 40))), 1, 8))::UBIGINT & 3)::BIGINT AS shard,
+         ('0x' || substr(sha256(unhex(k)), 1, 16))::UBIGINT::HUGEINT AS h1, ('0x' || substr(sha256(unhex(k)), 17, 16))::UBIGINT::HUGEINT | 1 AS h2 FROM keys),
+bits AS (SELECT DISTINCT shard, ((h1 + i * h2) % {_TWO64}) % {bloom.BITS} AS bit FROM placed, range(0, {S.HASHES}) r(i))"""
+
+
+@query(_sql("SELECT shard, count(*)::BIGINT AS bits_set, sum(bit)::BIGINT AS places FROM bits GROUP BY shard", _KEYS, _BITS_SQL))
+def bloom_set_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bits a summary of four shards has set, and the sum of their numbers, read from its bytes."""
+    summary = bloom.build_summary(_keys(spark, sf_dir).distinct(), 4, heavy=1 << 40)
+
+    def read(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            at = [np.flatnonzero(np.unpackbits(np.frombuffer(bytes(b), np.uint8), bitorder="little")) for b in batch["bits"]]
+            yield pd.DataFrame({"shard": batch["shard"], "bits_set": [len(x) for x in at], "places": [int(x.sum()) for x in at]})
+
+    return summary.where("kind = 'a'").select("shard", "bits").mapInPandas(read, "shard long, bits_set long, places long")
+
+
+@query("SELECT count(*)::BIGINT AS probes, true AS within FROM events")
+def bloom_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absent keys, one an event, that a summary of the history says it may hold: fewer than 50 in 10,000."""
+    keys = _keys(spark, sf_dir).distinct()
+    shards = keys.agg(S.shard_count(F.count("*"))).first()[0]
+    name = F.unhex(F.substring(F.sha2(F.concat(F.lit("absent "), F.col("event_id").cast("string")), 256), 1, 40))
+    absent = E.load(spark, sf_dir).select(S.account_key(name).alias("key"))
+    found = bloom.may_contain(absent, bloom.build_summary(keys, shards, heavy=20), shards)
+    positive = F.sum(F.col("may_contain").cast("long"))
+    return found.agg(F.count("*").alias("probes"), (positive * 10000 < 50 * F.count("*")).alias("within"))

@@ -7,7 +7,7 @@ keeps only a marker in its address's shard; its keys go to spill shards, chosen
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import BITS_PER_KEY, HASHES, HEAVY_GROUP, SHARD_KEYS, _masked, group_of
+from tidemark.functions.shipping import ship
+from tidemark.plans.store import stage
 
+ship(__name__)
+
+#: Shares of a shard's probes, each of which gets the shard's bits.
+SALTS = 8
 BITS = SHARD_KEYS * BITS_PER_KEY
 MARKER = "FF"
 
@@ -54,25 +60,50 @@ def build_summary(keys: DataFrame, shards: int, heavy: int = HEAVY_GROUP, total:
     return summary_items(keys, shards, heavy).groupBy("kind", "shard").applyInPandas(build, "kind string, shard long, bits binary")
 
 
-def may_contain(probes: DataFrame, summary: DataFrame, shards: int, total: int = BITS) -> DataFrame:
-    """``probes`` (with a key) with a boolean ``may_contain``: false only for keys that the run doesn't hold."""
-    shard = lambda c, at: _masked(F.sha2(c, 256), at, F.lit(shards))
-    address, spill = summary.where("kind = 'a'").select(F.col("shard").alias("_a"), F.col("bits").alias("_abits")), summary.where("kind = 's'").select(F.col("shard").alias("_s"), F.col("bits").alias("_sbits"))
-    placed = probes.withColumn("_a", shard(F.substring(group_of(F.col("key")), 2, 20), 0)).withColumn("_s", shard(F.col("key"), 16))
+def _probed(probes: DataFrame, summary: DataFrame, items: dict[str, Callable[[bytes], bytes]], total: int) -> DataFrame:
+    """``probes`` (key, shard, others) with a boolean for each of ``items``, by the bits of the key's shard.
 
-    def holds(bits: pd.Series, items: list[bytes]) -> np.ndarray:
-        at = bits_of(items, total).astype(np.int64) if items else np.empty((0, HASHES), np.int64)
-        return np.array([b is not None and bool((np.frombuffer(b, np.uint8)[a >> 3] >> (a & 7) & 1).all()) for b, a in zip(bits, at, strict=True)], bool)
+    A shard's bits travel once for each of ``SALTS`` shares of its probes, not once a probe, and come before them in the
+    order of a partition: a task holds one shard's bits and one batch, however many probes a shard has.
+    """
+    own = [f for f in probes.schema if f.name != "shard"]
+    salted = probes.withColumns({"_salt": F.pmod(F.hash("key"), F.lit(SALTS)), "_bits": F.lit(None).cast("binary")})
+    sent = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("shard", "_salt", F.col("bits").alias("_bits"))
+    rows = sent.unionByName(salted, allowMissingColumns=True).repartition("shard", "_salt").sortWithinPartitions("shard", "_salt", F.col("_bits").isNull())
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bits = None, None
         for batch in batches:
-            keys = [bytes(k) for k in batch["key"]]
-            heavy = holds(batch["_abits"], [b"\xff" + k[:21] for k in keys])
-            found = holds(batch["_abits"], keys) | (heavy & holds(batch["_sbits"], keys))
-            yield batch.drop(columns=["_a", "_s", "_abits", "_sbits"]).assign(may_contain=found)
+            for (shard, salt), group in batch.groupby(["shard", "_salt"], sort=False):
+                if (shard, salt) != at:
+                    at, bits = (shard, salt), None
+                known = group["_bits"].notna()
+                if known.any():
+                    bits = np.frombuffer(bytes(group.loc[known, "_bits"].iloc[0]), np.uint8)
+                asked = group[~known]
+                if len(asked):
+                    keys, out = [bytes(k) for k in asked["key"]], asked[[f.name for f in own]]
+                    for name, item in items.items():
+                        places = bits_of([item(k) for k in keys], total).astype(np.int64)
+                        out = out.assign(**{name: np.zeros(len(keys), bool) if bits is None else (bits[places >> 3] >> (places & 7) & 1).all(axis=1)})
+                    yield out
+
+    return rows.mapInPandas(probe, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + "".join(f", {n} boolean" for n in items))
+
 
-    joined = placed.join(address, "_a", "left").join(spill, "_s", "left")
-    return joined.mapInPandas(probe, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in probes.schema) + ", may_contain boolean")
+def may_contain(probes: DataFrame, summary: DataFrame, shards: int, total: int = BITS) -> DataFrame:
+    """``probes`` (with a key) with a boolean ``may_contain``: false only for keys that the run doesn't hold.
+
+    Probes go to their address's shard, and only those of a heavy group on to their spill shard.
+    """
+    shard = lambda c, at: _masked(F.sha2(c, 256), at, F.lit(shards))
+    of = lambda kind: summary.where(F.col("kind") == kind).drop("kind")
+    marker = bytes.fromhex(MARKER)
+    first = probes.withColumn("shard", shard(F.substring(group_of(F.col("key")), 2, 20), 0))
+    first = stage(_probed(first, of("a"), {"_light": lambda k: k, "_heavy": lambda k: marker + k[:21]}, total), "bloom-probes")
+    known = first.where("_light OR NOT _heavy").select(*probes.columns, F.col("_light").alias("may_contain"))
+    spilled = first.where("_heavy AND NOT _light").select(*probes.columns, shard(F.col("key"), 16).alias("shard"))
+    return known.unionByName(_probed(spilled, of("s"), {"may_contain": lambda k: k}, total))
 
 
 def bit_numbers(key: Column, total: int = BITS) -> Column:
