@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from tidemark import archive_queries, queries  # noqa: F401 - registers its queries
+from tidemark.operators import lifetime
 from tidemark.sources import events as E
 
 
@@ -53,6 +54,30 @@ def test_published_history(spark, tables, name):
     assert rows == want and rows
 
 
+@pytest.mark.parametrize("width", [1, 7, 4096])
+@pytest.mark.parametrize("name", ["ext_key_history_whole", "lifetime_incarnations", "lifetime_from_replay_flags"])
+def test_lives_do_not_depend_on_ranges(spark, tables, monkeypatch, name, width):
+    monkeypatch.setattr(lifetime, "RANGE", width)
+    rows, want = both(spark, tables, name)
+    assert rows == want and rows
+
+
+def test_lives_of_flags_that_contradict_each_other(spark, monkeypatch):
+    monkeypatch.setattr(lifetime, "RANGE", 3)
+    rng = random.Random(5)
+    rows = [(k, b, rng.random() < 0.6, rng.random() < 0.6, rng.random() < 0.4) for k in (None, 1, 2) for b in sorted(rng.sample(range(60), 30))]
+    want, last = [], {}
+    for k, b, previous, exists, wiped in rows:
+        before, life = last.get(k, (None, 0))
+        life += (before is False and exists) + (exists and previous and wiped)
+        want.append((k, b, life, before is None or before == previous))
+        last[k] = (exists, life)
+    frame = spark.createDataFrame(rows, "address long, block long, previous_exists boolean, exists boolean, wiped boolean")
+    found = lifetime.incarnations_of_flags(frame).select("address", "block", "incarnation", "consistent")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert lifetime.incarnations_of_flags(frame.limit(0)).count() == 0
+
+
 def test_bloom_shards_follow_the_number_of_keys(spark, tables, monkeypatch):
     asked, build, probe = [], queries.bloom.build_summary, queries.bloom.may_contain
     monkeypatch.setattr(queries.scalars, "SHARD_KEYS", 16)

@@ -9,7 +9,7 @@ code: its SHA-256 for the code hash, first seen in its first block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifetime import incarnations
@@ -37,11 +37,10 @@ def changes(events: DataFrame) -> DataFrame:
 
 def account_versions(events: DataFrame) -> DataFrame:
     """address, block, exists, incarnation, nonce, balance, code_hash."""
-    so_far = Window.partitionBy("address").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    rows = incarnations(changes(events), wiped=F.col("last_type") == "signup")
+    rows = incarnations(changes(events), wiped=F.col("last_type") == "signup", totals={"events": "n", "spent": "cents"})
     live = lambda c: F.when(F.col("exists"), c).otherwise(F.lit(0)).cast("long")
     return rows.select(
-        "address", "block", "exists", "incarnation", live(F.sum("n").over(so_far)).alias("nonce"), live(F.sum("cents").over(so_far)).alias("balance"),
+        "address", "block", "exists", "incarnation", live(F.col("events")).alias("nonce"), live(F.col("spent")).alias("balance"),
         F.when(F.col("exists"), F.sha2("last_type", 256)).alias("code_hash"),
     )
 
