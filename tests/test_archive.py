@@ -22,7 +22,7 @@ from tidemark.plans.archive import Archive, Rejected, check_head
 from tidemark.plans.merge import DuplicateVersion, duplicates, merge_runs
 from tidemark.plans.store import Conflict, HeadFile, Store
 from tidemark.sources.genesis import genesis_anchor
-from tidemark.sources.packages import SCHEMA, InvalidPackage, files, package_from_text, read_lines, read_package
+from tidemark.sources.packages import SCHEMA, InvalidPackage, files, package_from_text, read_lines, read_package, read_packages
 from tidemark.streaming.ingest import ingest
 
 
@@ -386,3 +386,51 @@ def test_an_account_that_goes_and_comes_back(spark, tmp_path):
     archive.compact()
     found = [sorted(map(tuple, a.snapshot().accounts.select("block", "exists", "incarnation", "nonce").collect())) for a in (archive, streamed)]
     assert found[0] == found[1] == [(n, exists, life, n + 1 if exists else None) for n, (exists, life) in enumerate(lives)]
+
+
+def _lives(folder, n, first=0, **kw):
+    """One-block packages as files: an account that changes in each, and storage of it."""
+    folder.mkdir(exist_ok=True)
+    for i in range(first, n):
+        rows = [P.account(i, True, 0, nonce=i, code_hash=P.CODE_HASH), P.storage(i, 0, P.COUNTER, P.word(i))]
+        (folder / f"{i}.jsonl").write_text(P.text(P.records({i: rows + ([P.code()] if i % 3 == 0 else [])}, **kw)))
+
+
+def test_many_packages_are_published_as_one_after_the_other_would(spark, tmp_path):
+    """The same runs, by their digests, in one swap; what is there already isn't added, and a copy of a file counts once."""
+    _lives(tmp_path / "in", 7)
+    single, many = Archive(spark, str(tmp_path / "a"), 1), Archive(spark, str(tmp_path / "b"), 1)
+    for i in range(7):
+        single.publish(read_package(read_lines(files(spark, f"{tmp_path}/in/{i}.jsonl"))))
+        single.compact()
+    some = lambda names: read_packages(files(spark, f"{tmp_path}/in/{names}.jsonl"))
+    with pytest.raises(Rejected, match="continues the head"):
+        many.publish_all(some("[02]"))
+    assert many.publish_all(some("[0-2]")) == 3
+    (tmp_path / "in" / "copy.jsonl").write_text((tmp_path / "in" / "5.jsonl").read_text())
+    assert many.publish_all(some("*")) == 4 and many.publish_all(some("*")) == 0
+    runs = lambda a: (a.head()[1]["l0"], a.head()[1]["levels"])
+    assert runs(many) == runs(single) and many.describe()["generation"] == 2
+    many.verify(deep=True)
+
+
+def test_many_packages_are_validated_each_for_itself(spark, tmp_path):
+    _lives(tmp_path / "in", 3)
+    (tmp_path / "in" / "1.jsonl").write_text(P.text(P.records({1: [P.account(1, True, 0), P.storage(1, 1, P.COUNTER, P.word(1))]})))
+    with pytest.raises(InvalidPackage, match="storage lifecycle: incarnation"):
+        read_packages(files(spark, f"{tmp_path}/in"))
+    (tmp_path / "in" / "1.jsonl").write_text(P.text(P.records({1: [P.account(1, True, 0), P.account(1, True, 0)]})))
+    with pytest.raises(InvalidPackage, match="account repeated"):
+        read_packages(files(spark, f"{tmp_path}/in"))
+
+
+def test_a_stream_of_many_packages_a_batch(spark, tmp_path):
+    _lives(tmp_path / "in", 6)
+    archive = Archive(spark, str(tmp_path / "archive"), 1)
+    run = lambda: ingest(spark, str(tmp_path / "in"), archive, str(tmp_path / "checkpoint"), at_once=8).awaitTermination(120)
+    run()
+    assert archive.describe()["published_block"] == 5 and archive.describe()["generation"] == 1
+    _lives(tmp_path / "in", 9, first=6)
+    run()
+    assert archive.describe()["published_block"] == 8 and archive.describe()["generation"] == 2
+    assert archive.snapshot().accounts.count() == 9 and [r["first_seen_block"] for r in archive.snapshot().codes.collect()] == [0]

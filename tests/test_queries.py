@@ -86,3 +86,15 @@ def test_bloom_shards_follow_the_number_of_keys(spark, tables, monkeypatch):
     n = queries._keys(spark, tables).distinct().count()
     assert queries.QUERIES["bloom_no_false_negatives"](spark, tables).count() == 0
     assert asked[0] == asked[1] > 4 and asked[0] // 2 < n / 16 <= asked[0]
+
+
+def test_jobs_of_a_publication_do_not_grow_with_its_packages(spark, tables, monkeypatch):
+    counts = []
+    for n in (6, 18):
+        monkeypatch.setattr(archive_queries, "PACKAGES", n)
+        spark.sparkContext.setJobGroup(f"publish {n}", "")
+        archive = archive_queries.published(spark, tables)
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"publish {n}")))
+        assert archive.describe()["published_block"] == 89
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < counts[1] < 1.5 * counts[0]

@@ -30,8 +30,8 @@ _ALL = sorted({f.strip("[]") for fields in FIELDS.values() for f in fields.split
 RECORD = "struct<" + ", ".join(f"`{c}`: {'boolean' if c == 'exists' else 'string'}" for c in ["type", *_ALL]) + ">"
 
 
-def decode(lines: DataFrame) -> DataFrame:
-    """package, line_no, line to typed columns; ``fields_ok`` and ``format_ok`` tell how that went."""
+def decode(lines: DataFrame, *kept: str) -> DataFrame:
+    """package, line_no, line to typed columns; ``fields_ok`` and ``format_ok`` tell how that went. Columns ``kept`` stay."""
     parsed = lines.withColumn("r", F.from_json("line", RECORD)).withColumn("keys", F.json_object_keys("line"))
     kind = F.col("r.type")
     allowed = lambda fields: F.array(F.lit("type"), *[F.lit(f.strip("[]")) for f in fields.split()])
@@ -50,7 +50,7 @@ def decode(lines: DataFrame) -> DataFrame:
     for c, value in typed.items():
         read = read & (F.col(f"r.{c}").isNull() | value.isNotNull())
     columns = [value.alias(c) for c, value in typed.items()]
-    return parsed.select("package", "line_no", kind.alias("type"), F.coalesce(ok & once, F.lit(False)).alias("fields_ok"), F.coalesce(read, F.lit(False)).alias("format_ok"), *columns)
+    return parsed.select("package", "line_no", kind.alias("type"), F.coalesce(ok & once, F.lit(False)).alias("fields_ok"), F.coalesce(read, F.lit(False)).alias("format_ok"), *columns, *kept)
 
 
 def _failed(rules: dict[str, Column]) -> Column:
@@ -122,17 +122,18 @@ def package_violations(records: DataFrame, schema: str) -> DataFrame:
     return found.unionByName(t.select("package", F.lit(None).cast("int").alias("line_no"), _failed(totals).alias("rule")))
 
 
-def lifecycle(accounts: DataFrame, storage: DataFrame, anchor: bool, zero: Column) -> DataFrame:
+def lifecycle(accounts: DataFrame, storage: DataFrame, anchor: bool | Column, zero: Column, inputs: list[str] | None = None) -> DataFrame:
     """Rows of ``storage`` (address, block, incarnation, value) that the accounts of the same input contradict, with ``rule``.
 
     The newest account record at or before a write must have its incarnation, and be live unless the write is zero. A
-    write whose account the input doesn't have is an error in an anchor only.
+    write whose account the input doesn't have is an error in an anchor only. Columns ``inputs`` tell many inputs apart.
     """
-    own = accounts.select("address", "block", "exists", "incarnation")
-    met = as_of_join(storage, own, ["address"], name="account")
+    by = [*(inputs or []), "address"]
+    own = accounts.select(*by, "block", "exists", "incarnation")
+    met = as_of_join(storage, own, by, name="account")
     other = F.col("account.incarnation") != F.col("incarnation")
     dead = ~F.col("account.exists") & (F.col("value") != zero)
-    absent = F.col("account").isNull() & F.lit(anchor)
+    absent = F.col("account").isNull() & (F.lit(anchor) if isinstance(anchor, bool) else anchor)
     rule = F.when(absent, "no_account").when(other, "incarnation").when(dead, "after_tombstone")
     return met.withColumn("rule", rule).where(F.col("rule").isNotNull()).drop("account")
 

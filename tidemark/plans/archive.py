@@ -25,7 +25,7 @@ from tidemark.operators.snapshot import Snapshot
 from tidemark.plans import gc, levels, probe
 from tidemark.plans.merge import DuplicateVersion
 from tidemark.plans.store import Conflict, HeadFile, Store, digest_of
-from tidemark.sources.packages import Package
+from tidemark.sources.packages import Header, Package, Packages
 
 MAGIC = "tidemark-head/1"
 RETRIES = 32
@@ -38,6 +38,8 @@ SCHEMAS = {
 AT = {"accounts": "block", "storage": "block", "codes": "first_seen_block"}
 #: Blocks a range of a merged run, by which a hot key's versions spread.
 BUCKET = 4096
+#: Blocks a range of the runs that many packages are published as: a key has one version a block at most.
+WIDE = 65536
 #: Seconds: files younger than this may belong to a commit under way; a merge gives up before that.
 GC_AGE, MERGE_DEADLINE = 3 * 3600, 2 * 3600
 
@@ -117,6 +119,10 @@ class Archive:
             if weight > 1:
                 counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{temporary}/{name}").select(*keys).distinct().count()
             prints.append(_print(name, found["rows"], found["hash"]))
+        return self._named(temporary, start, end, weight, prints, sum(counts.values()))
+
+    def _named(self, temporary: str, start: int, end: int, weight: int, prints: list[tuple], keys: int) -> dict:
+        """Renames what was written to its digest."""
         digest = _digest(start, end, prints)
         if not self.store.rename_new(temporary, f"runs/{digest}"):
             # equal contents are there already; as they may be old, collection mustn't take them before the head's swap
@@ -124,7 +130,41 @@ class Archive:
             if not self.store.exists(f"runs/{digest}") and not self.store.rename_new(temporary, f"runs/{digest}"):
                 raise Conflict(f"run {digest} comes and goes")
             self.store.delete(temporary)
-        return {"digest": digest, "start": start, "end": end, "weight": weight, "keys": sum(counts.values()), "shards": 1}
+        return {"digest": digest, "start": start, "end": end, "weight": weight, "keys": keys, "shards": 1}
+
+    def _write_runs(self, tables: dict[str, DataFrame], planned: list[dict]) -> list[dict]:
+        """``_write_run`` for several runs, a job a table: rows (with ``run``, the number of theirs) are dealt by run and
+        part, and each run's rows, hashes and keys are told apart in the one pass."""
+        temporary = f"runs/{uuid.uuid4().hex}.tmp"
+        nth = range(len(planned))
+        folders = [f"runs/{uuid.uuid4().hex}.tmp" for _ in nth]
+        prints, keys = [[] for _ in nth], [0 for _ in nth]
+        for name, rows in tables.items():
+            key, at, columns = TABLES[name], AT[name], [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+            dealt = rows.select("run", *columns).withColumns({"part": S.partition_of(F.col(key[0])), "_range": F.floor(F.col(at) / WIDE)}).repartition("run", "part", "_range")
+            before = F.lag(at).over(Window.partitionBy("run", "part", "_range", *key).orderBy(at))
+            marked = dealt.withColumns({"_again": F.coalesce(before == F.col(at), F.lit(False)), "_first": before.isNull(), "_hash": F.xxhash64(*columns).cast("decimal(38,0)")})
+            seen, own = Observation(), lambda i: F.col("run") == i
+            sums = [(F.count_if(own(i)).alias(f"rows{i}"), F.sum(F.when(own(i), F.col("_hash"))).alias(f"hash{i}")) for i in nth]
+            observed = marked.observe(seen, F.count_if("_again").alias("again"), F.count_if(~F.col("run").between(0, len(planned) - 1)).alias("stray"), *[c for pair in sums for c in pair])
+            writer = observed.drop("_again", "_first", "_hash", "_range").write.partitionBy("run", "part").option("compression", "zstd")
+            writer.option(f"parquet.bloom.filter.enabled#{key[0]}", "true").parquet(f"{self.root}/{temporary}/{name}")
+            found = seen.get
+            if name != "codes" and found["again"]:
+                self.store.delete(temporary)
+                raise DuplicateVersion(f"{name} has a key twice at one block")
+            if found["stray"]:
+                self.store.delete(temporary)
+                raise Rejected(f"{name} has rows at blocks of no run")
+            for i in nth:
+                prints[i].append(_print(name, found[f"rows{i}"], found[f"hash{i}"]))
+            written = self.spark.read.schema(f"{SCHEMAS[name]}, run int").parquet(f"{self.root}/{temporary}/{name}")
+            for r in written.select("run", *key).distinct().groupBy("run").count().collect():
+                keys[r["run"]] += r["count"]
+            for i in nth:
+                self.store.place(f"{temporary}/{name}/run={i}", f"{folders[i]}/{name}")
+        self.store.delete(temporary)
+        return [self._named(folders[i], p["start"], p["end"], p["weight"], prints[i], keys[i]) for i, p in enumerate(planned)]
 
     def publish(self, package: Package, finalized: tuple[int, str] | None = None, observed: tuple[int, str, int] | None = None) -> bool:
         """Adds a package's changes; False if it is the head already. Nothing is visible before the head's swap.
@@ -159,14 +199,61 @@ class Archive:
                 self._check_transition(package, head)
         raise Conflict("the head kept changing")
 
-    def _check_transition(self, package: Package, head: dict | None) -> None:
+    def publish_all(self, packages: Packages) -> int:
+        """Adds many packages that follow each other, as publishing and compacting one after the other would, with one
+        swap of the head: the runs that are left in the end are written, once, and those between never are.
+
+        Returns how many it added. Those up to the one that is the head, if that is among them, are there already. There
+        is no gate here; what has to end at a finalized or observed block goes through ``publish``.
+        """
+        for _ in range(RETRIES):
+            version, head = self.head()
+            state = lambda p: (p.last[0], p.last[1], p.digest)
+            at = next((i for i, p in enumerate(packages.headers) if head and state(p) == (head["number"], head["hash"], head["input_sha256"])), -1)
+            fresh, before = packages.headers[at + 1 :], head
+            if not fresh:
+                return 0
+            for p in fresh:
+                if p.chain_id != self.chain_id:
+                    raise Rejected(f"chain {p.chain_id} is not {self.chain_id}")
+                self._check_transition(p, before, backlog=False)
+                before = {"number": p.last[0], "hash": p.last[1], "genesis": p.genesis}
+            l0, now = planned(head, fresh)
+            todo = [r for r in [*reversed([r for r in now if r]), *l0] if not r["digest"]]
+            starts = F.array(*[F.lit(r["start"]).cast("long") for r in todo])
+            tables = {}
+            for name in TABLES:
+                rows = getattr(packages, name).where(F.col(AT[name]) >= fresh[0].first[0])
+                rows = rows.withColumn("run", F.aggregate(starts, F.lit(-1), lambda n, s: n + (s <= F.col(AT[name])).cast("int")))  # noqa: B023
+                for i, r in enumerate(todo):
+                    if r["of"]:
+                        rows = rows.unionByName(self.table(name, r["of"]).withColumn("run", F.lit(i)), allowMissingColumns=True)
+                tables[name] = rows
+            tables["codes"] = tables["codes"].groupBy("run", "code_hash").agg(F.min("first_seen_block").alias("first_seen_block"), F.min_by("code", "first_seen_block").alias("code"))
+            runs = iter(self._write_runs(tables, todo))
+            made = {id(r): run for r, run in zip(todo, runs, strict=True)}
+            place = lambda r: made.get(id(r), r) if r else r
+            last = fresh[-1]
+            new = {
+                "magic": MAGIC, "chain_id": self.chain_id, "genesis": last.genesis, "number": last.last[0], "hash": last.last[1], "state_root": last.last[2], "input_sha256": last.digest,
+                "parent": version or None, "final": True, "l0": [place(r) for r in l0], "levels": [place(r) for r in now],
+            }
+            check_head(new, self.chain_id)
+            try:
+                self.heads.compare_and_swap(version, new)
+                return len(fresh)
+            except Conflict:
+                continue  # a compactor or another writer was first: begin anew from what is there
+        raise Conflict("the head kept changing")
+
+    def _check_transition(self, package: Header, head: dict | None, backlog: bool = True) -> None:
         start, _, parent = package.first
         if package.mode == "anchor":
             if head is not None or start != 0 or int(parent, 16):
                 raise Rejected("an anchor starts an empty archive at block 0")
         elif head is None or package.genesis != head["genesis"] or (start, package.preceding, parent) != (head["number"] + 1, (head["number"], head["hash"]), head["hash"]):
             raise Rejected("a delta continues the head")
-        if head and len(head["l0"]) >= levels.BACKLOG:
+        if backlog and head and len(head["l0"]) >= levels.BACKLOG:
             raise Rejected("backlog: compact first")
 
     def compact_once(self) -> bool:
@@ -175,16 +262,8 @@ class Archive:
         version, head = self.head()
         if head is None or len(head["l0"]) < levels.BUFFER:
             return False
-        inputs, now = head["l0"][: levels.BUFFER], list(head["levels"])
-        level, weight, merged = 0, levels.BUFFER, list(inputs)
-        while level < len(now) and now[level]:
-            merged, weight = [now[level], *merged], weight + now[level]["weight"]
-            now[level] = None
-            if weight < levels.FAN * levels.unit(level):
-                break
-            level += 1
-        while level >= len(now):
-            now.append(None)
+        inputs = head["l0"][: levels.BUFFER]
+        merged, level, weight, now = carried(inputs, head["levels"])
         # not merged here: writing a run deals and sorts its rows
         tables = {t: self.table(t, merged) for t in ("accounts", "storage")}
         tables["codes"] = self.table("codes", merged).groupBy("code_hash").agg(F.min("first_seen_block").alias("first_seen_block"), F.min_by("code", "first_seen_block").alias("code"))
@@ -298,6 +377,34 @@ def _digest(start: int, end: int, prints: list[tuple]) -> str:
     return hashlib.sha256(repr((start, end, prints)).encode()).hexdigest()
 
 
+def carried(inputs: list[dict], now: list) -> tuple[list[dict], int, int, list]:
+    """What the oldest new runs merge with, the level and weight of the run that becomes of it, and the levels without them."""
+    level, weight, merged, now = 0, levels.BUFFER, list(inputs), list(now)
+    while level < len(now) and now[level]:
+        merged, weight = [now[level], *merged], weight + now[level]["weight"]
+        now[level] = None
+        if weight < levels.FAN * levels.unit(level):
+            break
+        level += 1
+    while level >= len(now):
+        now.append(None)
+    return merged, level, weight, now
+
+
+def planned(head: dict | None, packages: list[Header]) -> tuple[list[dict], list]:
+    """Buffer and levels after packages have been published and compacted one after the other. Runs still to be written
+    have no digest, and ``of``, the runs there are whose rows they take over."""
+    l0, now = (list(head["l0"]), list(head["levels"])) if head else ([], [])
+    held = lambda r: [r] if r["digest"] else r["of"]
+    for p in packages:
+        l0.append({"digest": None, "start": p.first[0], "end": p.last[0], "weight": 1, "of": []})
+        while len(l0) >= levels.BUFFER:
+            merged, level, weight, now = carried(l0[: levels.BUFFER], now)
+            now[level] = {"digest": None, "start": merged[0]["start"], "end": merged[-1]["end"], "weight": weight, "of": [x for r in merged for x in held(r)]}
+            l0 = l0[levels.BUFFER :]
+    return l0, now
+
+
 def runs_of(head: dict) -> list[dict]:
     """Oldest first: levels from the highest down, then the buffer."""
     return [r for r in reversed(head["levels"]) if r] + head["l0"]

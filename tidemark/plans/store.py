@@ -109,6 +109,14 @@ class Store:
         self.fs.mkdirs(self.path(target).getParent())
         return not self.exists(target) and self.fs.rename(self.path(source), self.path(target))
 
+    def place(self, source: str, target: str) -> None:
+        """Moves a folder to a name of the caller's own; what isn't there, because nothing was written, becomes an empty one."""
+        self.fs.mkdirs(self.path(target).getParent())
+        if not self.exists(source):
+            self.fs.mkdirs(self.path(target))
+        elif not self.fs.rename(self.path(source), self.path(target)):
+            raise OSError(f"can't rename {source}")
+
     def touch(self, key: str) -> None:
         """Counts as modified now, so that collection, which spares what is young, spares it."""
         if self.local is not None:

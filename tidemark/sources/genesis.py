@@ -99,3 +99,8 @@ def write_package(ordered: DataFrame, path: str) -> None:
     """A package (columns line_no, line) as a single text file in the folder ``path``; packages are capped in size."""
     ordered.select("line_no", "line").coalesce(1).sortWithinPartitions("line_no").select("line").write.text(path)
 
+
+def write_packages(lines: DataFrame, path: str) -> None:
+    """Many packages (columns package, line_no, line) in one job, each as a single text file in a folder of its own."""
+    lines.repartition("package").sortWithinPartitions("package", "line_no").select("package", "line").write.partitionBy("package").text(path)
+
