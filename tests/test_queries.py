@@ -88,6 +88,18 @@ def test_bloom_shards_follow_the_number_of_keys(spark, tables, monkeypatch):
     assert asked[0] == asked[1] > 4 and asked[0] // 2 < n / 16 <= asked[0]
 
 
+@pytest.mark.parametrize("name", ["bloom_no_false_negatives", "bloom_false_positives"])
+def test_the_history_is_read_once_for_a_summary(spark, tables, monkeypatch, name):
+    """Keys and bits are made once and read from files after that."""
+    labels, stage = [], queries.bloom.stage
+    for module in (queries, archive_queries, queries.bloom):
+        monkeypatch.setattr(module, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    found = queries.QUERIES[name](spark, tables)
+    assert labels.count("bloom-keys") == 1 and labels.count("bloom-summary") == 1
+    files = found._jdf.queryExecution().executedPlan().toString()
+    assert "bloom-summary" in files and "events.parquet" not in files
+
+
 def test_jobs_of_a_publication_do_not_grow_with_its_packages(spark, tables, monkeypatch):
     counts = []
     for n in (6, 18):

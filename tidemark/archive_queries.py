@@ -190,7 +190,7 @@ def bloom_set_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*)::BIGINT AS probes, true AS within FROM events")
 def bloom_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absent keys, one an event, that a summary of the history says it may hold: fewer than 50 in 10,000."""
-    keys = _keys(spark, sf_dir).distinct()
+    keys = stage(_keys(spark, sf_dir).distinct(), "bloom-keys")
     shards = keys.agg(S.shard_count(F.count("*"))).first()[0]
     name = F.unhex(F.substring(F.sha2(F.concat(F.lit("absent "), F.col("event_id").cast("string")), 256), 1, 40))
     absent = E.load(spark, sf_dir).select(S.account_key(name).alias("key"))

@@ -97,6 +97,7 @@ def may_contain(probes: DataFrame, summary: DataFrame, shards: int, total: int =
     Probes go to their address's shard, and only those of a heavy group on to their spill shard.
     """
     shard = lambda c, at: _masked(F.sha2(c, 256), at, F.lit(shards))
+    summary = stage(summary, "bloom-summary")  # both kinds are read, and it is built once
     of = lambda kind: summary.where(F.col("kind") == kind).drop("kind")
     marker = bytes.fromhex(MARKER)
     first = probes.withColumn("shard", shard(F.substring(group_of(F.col("key")), 2, 20), 0))

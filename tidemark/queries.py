@@ -17,6 +17,7 @@ from tidemark.operators.asof import as_of_join
 from tidemark.operators.lifetime import incarnations_of_flags
 from tidemark.operators.snapshot import Snapshot
 from tidemark.plans import levels
+from tidemark.plans.store import stage
 from tidemark.sources import events as E
 
 #: Probes of the queries that don't take theirs from the events (``_events``), whatever the tables' size.
@@ -331,7 +332,7 @@ def shard_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(NULL AS VARCHAR) AS key WHERE false")
 def bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the history that its own summary denies: none."""
-    keys = _keys(spark, sf_dir).distinct()
+    keys = stage(_keys(spark, sf_dir).distinct(), "bloom-keys")
     shards = keys.agg(scalars.shard_count(F.count("*"))).first()[0]
     summary = bloom.build_summary(keys, shards, heavy=20)
     return bloom.may_contain(keys, summary, shards).where("NOT may_contain").select(F.lower(F.hex("key")).alias("key"))
