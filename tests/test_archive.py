@@ -434,3 +434,13 @@ def test_a_stream_of_many_packages_a_batch(spark, tmp_path):
     run()
     assert archive.describe()["published_block"] == 8 and archive.describe()["generation"] == 2
     assert archive.snapshot().accounts.count() == 9 and [r["first_seen_block"] for r in archive.snapshot().codes.collect()] == [0]
+
+
+def test_packages_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """What one task sorts is bounded by a number of records, not by the session's number of partitions."""
+    records = validate.decode(package_from_text(spark, P.text(P.records(P.BEGINNING))))
+    monkeypatch.setattr(validate, "ROWS", 1)
+    found = validate.package_violations(records, SCHEMA)
+    n = records.count()
+    assert n > 8 and "hashpartitioning(package#" in found._jdf.queryExecution().toString()
+    assert f", {n})" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 0

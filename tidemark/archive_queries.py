@@ -40,7 +40,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     storage = E.storage_versions(events).select(_address("address").alias("address"), "incarnation", S.digest(F.col("slot")).alias("slot"), "block", wide("value", 1).alias("value"))
     blobs = codes.select(F.col("hash").alias("code_hash"), "first_seen_block", F.col("bytes").alias("code"))
     numbers = spark.range(head + 1).withColumnRenamed("id", "block")
-    return stage(package_lines(accounts, per, storage=storage, codes=blobs, numbers=numbers, anchored=True), "package-lines"), [str(n) for n in range(head // per + 1)]
+    return stage(package_lines(accounts, per, storage=storage, codes=blobs, numbers=numbers, anchored=True, shares=E.shares(events)), "package-lines"), [str(n) for n in range(head // per + 1)]
 
 
 def published(spark: SparkSession, sf_dir: str) -> Archive:

@@ -14,6 +14,8 @@ from tidemark.functions.keccak import EMPTY_CODE, keccak_of
 from tidemark.operators.asof import as_of_join
 
 MAX_BLOCKS, MAX_CODE, MAX_BYTES = 1000, 1 << 20, 256 << 20
+#: Records a task.
+ROWS = 100_000
 #: Each record type's fields, those in brackets being optional.
 FIELDS = {
     "header": "schema chain_id genesis_hash mode [anchor_number] [anchor_hash] [preceding_number] [preceding_hash]",
@@ -58,24 +60,36 @@ def _failed(rules: dict[str, Column]) -> Column:
 
 
 def package_violations(records: DataFrame, schema: str) -> DataFrame:
-    """package, rule, line_no of everything wrong with decoded packages (line_no null: with the package as a whole)."""
+    """package, rule, line_no of everything wrong with decoded packages (line_no null: with the package as a whole).
+
+    ``records`` are read several times, and counted for the number of tasks that packages are dealt to: ``ROWS`` records
+    each, so that what a task sorts doesn't grow with the number of packages.
+    """
+    shares = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // ROWS))
     by_line = Window.partitionBy("package").orderBy("line_no")
     so_far, before = by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("type")
     is_event = kind.isin("account", "storage", "code")
     of = lambda t, c: F.when(kind == t, F.col(c))
     n_of = lambda t, w: F.coalesce(F.sum(F.when(kind == t, 1).otherwise(0)).over(w), F.lit(0))
-    r = records.withColumns({
+    # what is sorted: of state and code only what the rules ask about them
+    state = [F.col(c).isNull() for c in ("nonce", "balance", "code_hash")]
+    asked = ("schema", "mode", "anchor_number", "anchor_hash", "preceding_number", "preceding_hash", "number", "hash", "parent_hash", "block", "address", "incarnation", "slot", "exists", "event_count")
+    flags = [(state[0] | state[1] | state[2]).alias("lacking"), ~(state[0] & state[1] & state[2]), F.octet_length("bytes").alias("code_bytes")]
+    flags[1] = flags[1].alias("stated")
+    r = records.select("package", "line_no", "type", "fields_ok", "format_ok", *asked, *flags).repartition(shares, "package").withColumns({
         "open_before": n_of("block", before) - n_of("block_end", before), "current": F.last(of("block", "number"), ignorenulls=True).over(so_far),
         "nth_block": n_of("block", so_far), "last_line": F.max("line_no").over(Window.partitionBy("package")), "first_line": F.min("line_no").over(Window.partitionBy("package")),
         "prev_number": F.last(of("block", "number"), ignorenulls=True).over(before), "prev_hash": F.last(of("block", "hash"), ignorenulls=True).over(before),
         "mode_": F.first(of("header", "mode"), ignorenulls=True).over(so_far), "preceding_hash_": F.first(of("header", "preceding_hash"), ignorenulls=True).over(so_far),
     })
-    in_block = Window.partitionBy("package", "nth_block", "type").orderBy("line_no")
+    # the account and the storage line before, with their block: no sort beside that by line
+    held = lambda t, *c: F.last(F.when(kind == t, F.struct("nth_block", F.struct(*c).alias("key"))), ignorenulls=True).over(before)
+    r = r.withColumns({"_account": held("account", "address"), "_storage": held("storage", "address", "incarnation", "slot")})
+    same_block = lambda c: F.when((kind == c[1:]) & (F.col(f"{c}.nth_block") == F.col("nth_block")), F.col(f"{c}.key"))
     block_events = F.sum(F.when(is_event, 1).otherwise(0)).over(Window.partitionBy("package", "nth_block"))
     r = r.withColumns({
-        "prev_address": F.lag("address").over(in_block), "prev_storage": F.lag(F.struct("address", "incarnation", "slot")).over(in_block),
-        "events": block_events, "same_code": F.when(kind == "code", F.count("*").over(Window.partitionBy("package", "type", "code_hash"))),
+        "prev_address": same_block("_account")["address"], "prev_storage": same_block("_storage"), "events": block_events,
     })
     here = F.struct("address", "incarnation", "slot")
     live = F.col("exists")
@@ -91,15 +105,19 @@ def package_violations(records: DataFrame, schema: str) -> DataFrame:
         "first parent is not the preceding block": (kind == "block") & (F.col("nth_block") == 1) & (F.col("mode_") == "delta") & (F.col("parent_hash") != F.col("preceding_hash_")),
         "event outside its block": kind.isin("account", "storage") & ((F.col("open_before") != 1) | (F.col("block") != F.col("current"))), "code outside a block": (kind == "code") & (F.col("open_before") != 1),
         "accounts not sorted": (kind == "account") & (F.col("prev_address") > F.col("address")), "account repeated": (kind == "account") & (F.col("prev_address") == F.col("address")),
-        "live account without state": (kind == "account") & live & (F.col("nonce").isNull() | F.col("balance").isNull() | F.col("code_hash").isNull()),
-        "tombstone with state": (kind == "account") & ~live & (F.col("nonce").isNotNull() | F.col("balance").isNotNull() | F.col("code_hash").isNotNull()),
+        "live account without state": (kind == "account") & live & F.col("lacking"),
+        "tombstone with state": (kind == "account") & ~live & F.col("stated"),
         "storage not sorted": (kind == "storage") & (F.col("prev_storage") > here), "storage repeated": (kind == "storage") & (F.col("prev_storage") == here),
-        "code hash repeated": F.col("same_code") > 1, "code too large": (kind == "code") & (F.octet_length("bytes") > MAX_CODE),
+        "code too large": (kind == "code") & (F.col("code_bytes") > MAX_CODE),
         "event count": (kind == "block_end") & (F.col("event_count") != F.col("events")),
         "block beyond the signed range": (kind == "block") & (F.col("number") >= F.lit("9223372036854775808").cast("decimal(20,0)")),
     }
     found = r.select("package", "line_no", _failed(lines).alias("rule"))
 
+    same_code = F.count("*").over(Window.partitionBy("package", "code_hash"))
+    repeated = records.where("type = 'code'").select("package", "line_no", "code_hash").withColumn("n", same_code).where("n > 1")
+    found = found.unionByName(repeated.select("package", "line_no", F.lit("code hash repeated").alias("rule")))
+
     codes = records.where("type = 'code' AND bytes IS NOT NULL").select("package", "line_no", "code_hash", keccak_of("bytes").alias("true_hash"))
     found = found.unionByName(codes.where("true_hash <> code_hash").select("package", "line_no", F.lit("code hash").alias("rule")))
 

@@ -545,12 +545,13 @@ def package_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.sources.packages import SCHEMA
     from tidemark.sources.writing import package_lines
 
-    lines = package_lines(E.account_versions(E.load(spark, sf_dir)), E.BLOCKS_PER_EPOCH)
+    events = E.load(spark, sf_dir)
+    lines = package_lines(E.account_versions(events), E.BLOCKS_PER_EPOCH, shares=E.shares(events))
     number = lambda field: F.conv(F.substring(F.get_json_object("line", f"$.{field}"), 3, 16), 16, 10).cast("long")
     kind = F.get_json_object("line", "$.type")
     wrong_count = F.regexp_replace("line", '"event_count":"0x', '"event_count":"0x1')
     with_nonce = F.regexp_replace("line", "}$", ',"nonce":"0x1"}')
     dead = (kind == "account") & (F.get_json_object("line", "$.exists") == "false") & (number("block") % 13 == 0)
     spoilt = F.when((kind == "block_end") & (number("number") % 7 == 0), wrong_count).when(dead, with_nonce).otherwise(F.col("line"))
-    records = validate.decode(lines.withColumn("line", spoilt))
+    records = stage(validate.decode(lines.withColumn("line", spoilt)), "records")
     return validate.package_violations(records, SCHEMA).groupBy("rule").agg(F.count("*").alias("n"))

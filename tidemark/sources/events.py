@@ -63,6 +63,11 @@ def head_block(events: DataFrame) -> int:
     return events.agg(F.expr(f"max(event_id) div {EVENTS_PER_BLOCK}")).first()[0]
 
 
+def shares(events: DataFrame) -> int:
+    """Tasks for what is made of the events line by line: one for 50,000 of them, but as many as there are cores at least."""
+    return max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // 50_000))
+
+
 def probes(spark: SparkSession, n: int, head: int, addresses: int) -> DataFrame:
     """``n`` probes (probe_id, address, slot, block), spread by arithmetic, some at addresses that aren't there."""
     slot = F.element_at(F.array(*[F.lit(s) for s in SLOTS]), (F.col("id") % len(SLOTS) + 1).cast("int"))

@@ -15,7 +15,7 @@ def block_hash(number: Column) -> Column:
 
 def package_lines(
     accounts: DataFrame, blocks_per_epoch: int, schema: str = SCHEMA, code_hash: str = "0x" + "ee" * 32, storage: DataFrame | None = None, codes: DataFrame | None = None,
-    numbers: DataFrame | None = None, anchored: bool = False,
+    numbers: DataFrame | None = None, anchored: bool = False, shares: int | None = None,
 ) -> DataFrame:
     """package, line_no, line of packages of ``accounts`` (address, block, exists, incarnation, nonce, balance).
 
@@ -23,6 +23,7 @@ def package_lines(
     into their blocks, hashes, values and code being binary; an account's own code_hash, if there is such a column, stands
     for ``code_hash``, and its balance may be binary. ``numbers`` (block) are the blocks to write, by default those with
     accounts: a package's blocks follow each other where none is left out. The first package is an anchor if ``anchored``.
+    ``shares`` is the number of tasks that packages are dealt to, where it shouldn't be the session's.
     """
     q = S.quantity
     line = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in fields.items()])).alias("line")
@@ -59,5 +60,6 @@ def package_lines(
     inner = events.unionByName(opening).unionByName(closing).select(epoch, "block", "kind", "a", "line")
     frame = lambda block, text: epochs.select("epoch", block.cast("long").alias("block"), F.lit(9).alias("kind"), F.lit("").alias("a"), text)
     lines = inner.unionByName(frame(F.lit(-1), header)).unionByName(frame(F.col("last") + 1, trailer))
+    lines = lines.repartition(shares, "epoch") if shares else lines
     nth = F.row_number().over(Window.partitionBy("epoch").orderBy("block", "kind", "a"))
     return lines.select(F.col("epoch").cast("string").alias("package"), nth.alias("line_no"), "line")
