@@ -88,6 +88,17 @@ def test_bloom_shards_follow_the_number_of_keys(spark, tables, monkeypatch):
     assert asked[0] == asked[1] > 4 and asked[0] // 2 < n / 16 <= asked[0]
 
 
+@pytest.mark.parametrize("name", ["storage_as_of", "account_as_of", "rpc_batch"])
+def test_only_versions_that_probes_ask_for_are_derived(spark, tables, monkeypatch, name):
+    derived, versions = [], E.account_versions
+    monkeypatch.setattr(queries, "PROBES", 3)
+    monkeypatch.setattr(E, "account_versions", lambda events: derived.append(versions(events)) or derived[-1])
+    rows = queries.QUERIES[name](spark, tables).collect()
+    assert len(rows) == 3 and derived[-1].select("address").distinct().count() <= 3
+    monkeypatch.setattr(queries, "_asked", queries._snapshot)
+    assert sorted(map(tuple, queries.QUERIES[name](spark, tables).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+
+
 @pytest.mark.parametrize("name", ["bloom_no_false_negatives", "bloom_false_positives"])
 def test_the_history_is_read_once_for_a_summary(spark, tables, monkeypatch, name):
     """Keys and bits are made once and read from files after that."""

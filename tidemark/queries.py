@@ -7,6 +7,7 @@ point-in-time archive; they are extensions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,11 +73,20 @@ def _snapshot(spark: SparkSession, sf_dir: str, strategy: str = "bucketed") -> t
     return pinned, E.probes(spark, PROBES, head, top)
 
 
+def _asked(spark: SparkSession, sf_dir: str, strategy: str = "bucketed") -> tuple[Snapshot, DataFrame]:
+    """``_snapshot`` for its probes alone: all events are read, but versions derived only of the addresses that are asked
+    for. A version depends on its own address's events and on nothing else, so the probes find the same."""
+    pinned, probes = _snapshot(spark, sf_dir, strategy)
+    events = E.load(spark, sf_dir)
+    own = events.join(F.broadcast(probes.select(F.col("address").alias("user_id")).distinct()), "user_id", "left_semi")
+    return replace(pinned, accounts=E.account_versions(own), storage=E.storage_versions(own)), probes
+
+
 _ACCOUNT_SQL = _sql("SELECT probe_id, address, block, ex AS \"exists\", incarnation, nonce, balance, code_hash FROM hit")
 
 
 def _accounts(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir, strategy)
+    pinned, probes = _asked(spark, sf_dir, strategy)
     found = pinned.accounts_as_of(probes)
     return found.select("probe_id", "address", "block", *[f"account.{c}" for c in ("exists", "incarnation", "nonce", "balance", "code_hash")])
 
@@ -98,20 +108,20 @@ def account_as_of_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("SELECT probe_id, address, block, incarnation, nonce FROM hit WHERE ex"))
 def account_as_of_live_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     return pinned.accounts_as_of(probes, live_only=True).select("probe_id", "address", "block", "account.incarnation", "account.nonce")
 
 
 @query(_sql("SELECT probe_id, '0x' || lower(format('{:x}', CASE WHEN ex THEN balance ELSE 0 END)) AS balance FROM hit"))
 def balance_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     live = F.when(F.col("account.exists"), F.col("account.balance")).otherwise(F.lit(0))
     return pinned.accounts_as_of(probes).select("probe_id", scalars.quantity(live).alias("balance"))
 
 
 @query(_sql("SELECT probe_id, '0x' || lower(format('{:x}', CASE WHEN ex THEN nonce ELSE 0 END)) AS nonce FROM hit"))
 def nonce_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     live = F.when(F.col("account.exists"), F.col("account.nonce")).otherwise(F.lit(0))
     return pinned.accounts_as_of(probes).select("probe_id", scalars.quantity(live).alias("nonce"))
 
@@ -125,7 +135,7 @@ val AS (
 
 @query(_sql("SELECT probe_id, address, slot, block, coalesce(value, 0)::BIGINT AS value FROM val", _STORAGE))
 def storage_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     return pinned.storage_as_of(probes, F.lit(0).cast("long")).select("probe_id", "address", "slot", "block", "value")
 
 
@@ -133,7 +143,7 @@ def storage_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT h.probe_id, h.address, h.block, coalesce(c.code, '') AS code
 FROM hit h LEFT JOIN cod c ON h.ex AND h.code_hash = c.code_hash AND c.first_seen_block <= h.block"""))
 def code_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     return pinned.code_as_of(probes, F.lit("")).select("probe_id", "address", "block", "code")
 
 
@@ -465,7 +475,7 @@ FROM (SELECT *, ['eth_getBalance', 'eth_getTransactionCount', 'eth_getCode', 'et
 JOIN val v USING (probe_id) LEFT JOIN cod c ON h.ex AND h.code_hash = c.code_hash AND c.first_seen_block <= h.block, head""", _STORAGE))
 def rpc_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of requests is a table of them; each row gets its answer or its error code."""
-    pinned, probes = _snapshot(spark, sf_dir)
+    pinned, probes = _asked(spark, sf_dir)
     methods = F.array(*[F.lit(m) for m in ("eth_getBalance", "eth_getTransactionCount", "eth_getCode", "eth_getStorageAt", "eth_blockNumber", "eth_getProof")])
     asked = probes.select(F.col("probe_id").alias("request_id"), F.element_at(methods, (F.col("probe_id") % 6 + 1).cast("int")).alias("method"), "address", "slot", scalars.quantity(F.col("block")).alias("selector"))
     return pinned.answer(asked)
